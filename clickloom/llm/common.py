@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once; a longer document is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -185,3 +186,13 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: The most that is broadcast; a larger side is joined by a shuffle.
+BROADCAST_BYTES = 24 << 20
+
+
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int) -> DataFrame:
+    """left joined with a written table: broadcast if its counted rows of about row_bytes fit the bound, else by a shuffle that Spark may split."""
+    small = right.count() * row_bytes <= BROADCAST_BYTES
+    return left.join(F.broadcast(right) if small else right, on, how)

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import decontamination, sentencepiece_bpe, token_shards
+from clickloom.llm import decontamination, near_dedup, sentencepiece_bpe, substring_dedup, token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece_bpe.query,
+        "op3_substring_dedup": substring_dedup.query,
+        "op4_minhash_near_dedup": near_dedup.query,
         "op9_decontamination": decontamination.query,
         "op10_token_shards": token_shards.query,
     }
