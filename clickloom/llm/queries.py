@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import decontamination, near_dedup, sentencepiece_bpe, substring_dedup, token_shards
+from clickloom.llm import decontamination, media, near_dedup, page_text, sentencepiece_bpe, substring_dedup, token_counts, token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": sentencepiece_bpe.query,
         "op3_substring_dedup": substring_dedup.query,
         "op4_minhash_near_dedup": near_dedup.query,
+        "op5_token_counts": token_counts.query,
+        "op6_page_text": page_text.query,
+        "op8_media": media.query,
         "op9_decontamination": decontamination.query,
         "op10_token_shards": token_shards.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_token_counts": token_counts.ORACLE}
