@@ -6,9 +6,16 @@ All hashes are 64-bit polynomials modulo 2**64 with an odd base, finished with a
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
+import shutil
+import sys
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once; a longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _MASK = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15
@@ -158,6 +165,62 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def gaps(values: list) -> Iterator[int]:
+    """Where a list has None."""
+    at = -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            yield at
+    except ValueError:
+        return
+
+
+@contextlib.contextmanager
+def without_gc():
+    """No cyclic garbage collection meanwhile, for code that makes very many small objects and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+#: Documents in an Arrow batch at most; with Spark's 10,000 a batch of long texts takes much of a worker's memory, twice.
+BATCH_ROWS = 1_000
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package's source to the executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="loom-source-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{root.name}-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, f"{root.name}/{source.relative_to(root)}")
+    context.addPyFile(path)
+    sys.path[:] = [x for x in sys.path if not x.endswith(Path(path).name)]
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow over batches of at most BATCH_ROWS rows: the session's limit is lowered where it is higher."""
+    ship(df.sparkSession)
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(function, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path under spark.checkpoint.dir; a temporary folder where that is unset (local tests only)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import ALNUM, Words, grams, word_slices
+from clickloom.llm.common import ALNUM, Words, grams, in_arrow, word_slices
 
 WINDOW = 10
 #: Benchmark words in one broadcast block: about 40 bytes a word. More words make more blocks.
 BLOCK_WORDS = 1_000_000
 #: Bytes of text in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, longest array<struct<item_id:string, doc_word:long, item_word:long, length:long>>"
 
@@ -148,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     names=["doc_id", "n_words", "n_hit", "n_items", "items", "longest"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(shards, REPORT)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), shards, REPORT)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -166,7 +166,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Da
                         keep[a + doc[at]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return in_arrow(docs, clean, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import written
+from clickloom.llm.common import in_arrow, written
 from clickloom.llm.html_tokens import INLINE, attributes, one_line, tokens
 
 ROW_BYTES = 192
@@ -175,7 +175,7 @@ def interleaved(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([items(x) for x in batch.column(1).to_pylist()], pa.list_(_ARROW_ITEM))], names=["page_id", "items"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, f"page_id long, items array<{ITEM}>")
+    return in_arrow(pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")), run, f"page_id long, items array<{ITEM}>")
 
 
 def resolved(sequences: DataFrame, media: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
@@ -205,7 +205,7 @@ def stored(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_bytes", "digest", "media"],
                 )
 
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, digest string, media binary"))
+    return written(in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_bytes long, digest string, media binary"))
 
 
 def facts(store: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def facts(store: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in FACTS.split(", ")])
 
-    every = store.select("digest", "media").mapInArrow(run, FACTS)
+    every = in_arrow(store.select("digest", "media"), run, FACTS)
     rest = [c for c in every.columns if c != "digest"]
     return every.groupBy("digest").agg(F.min(F.struct(*rest)).alias("x")).select("digest", "x.*")
 

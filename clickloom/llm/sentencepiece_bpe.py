@@ -20,10 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.llm.common import gaps, in_arrow, without_gc
+
 MARK = "▁"
 #: Chunks kept by a Python worker; a full table is emptied and fills again.
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 500_000
 
+#: Symbols up to which the agenda is a flat list.
+SHORT = 40
+_NONE = float("inf")
 _CHUNKS = re.compile(" +[^ ]*")
 
 
@@ -54,6 +59,17 @@ class Codec:
         """Pieces and left-over characters of a marked text."""
         symbols: list[str | None] = list(text)
         n, rank = len(symbols), self.rank.get
+        if n <= SHORT:  # the agenda of a short text is a flat list: its least entry is found faster than a heap is kept
+            pairs = [rank(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+            while pairs and (best := min(pairs)) != _NONE:
+                i = pairs.index(best)
+                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = rank(symbols[i] + symbols[i + 1], _NONE)
+                if i:
+                    pairs[i - 1] = rank(symbols[i - 1] + symbols[i], _NONE)
+            return symbols
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
         for i in range(n - 1):
@@ -130,13 +146,26 @@ def _utf8(raw: bytearray) -> str:
         return "".join(out)
 
 
+#: Letters, and marks that may follow them, which are looked up apart where no piece joins the two.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = ".,!?;:|$%&*#"
+
+
 class Table:
-    """Checked results of distinct chunks: ids as decimal text and the decoded chunk."""
+    """Checked results of distinct chunks: ids as decimal text, and the decoded chunk where it isn't the chunk itself.
+
+    Most chunks are letters and closing marks. Where the vocabulary has no piece in which such a mark follows a letter, no merge
+    crosses from one to the other, and each run of letters goes through the agenda once, whatever follows it.
+    """
 
     def __init__(self, model: str):
         self.codec = Codec(model)
+        marks = "".join(m for m in _MARKS if not any(re.search(f"[{_LETTERS}]{re.escape(m)}", p) for p in self.codec.id))
+        self.plain = re.compile(f"([{_LETTERS}]+)([{re.escape(marks)}]*)" if marks else f"([{_LETTERS}]+)()")
         self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
+        self.runs: dict[str, str] = {}
+        self.marks: dict[str, str] = {"": ""}
+        self.odd: dict[str, str] = {}
         self.corrected: set[str] = set()
 
     def chunks(self, text: str) -> list[str]:
@@ -149,26 +178,79 @@ class Table:
             return [x[1:] for x in _CHUNKS.findall(" " + text)]
         return text.split(" ")
 
-    def learn(self, found: list[list[str]]) -> None:
-        """Encode, decode and check what the table lacks."""
-        new = set().union(*found).difference(self.ids) if found else set()
-        if len(self.ids) + len(new) > TABLE_CHUNKS and self.ids:
-            self.ids, self.text, self.corrected = {}, {}, set()
-            new = set().union(*found)
-        if not new:
-            return
-        codec, chunks = self.codec, list(new)
-        own = [codec.encode_marked(MARK + x.replace(" ", MARK)) for x in chunks]
-        # an empty chunk is a lone space: the library adds no mark to an empty text, so it is compared as two spaces less one
+    def text(self, chunks: list[str]) -> str:
+        """The decoded text of chunks."""
+        if self.odd:
+            joint = "".join(self.odd.get(x) or " " + x for x in chunks)
+            return joint[1:] if joint.startswith(" ") else joint
+        return " ".join(chunks)
+
+    def _checked(self, chunks: list[str]) -> list[str]:
+        """Ids of chunks by the agenda, each compared with the library both ways."""
+        codec, out = self.codec, []
+        # an empty chunk is a lone space; the library adds no mark to an empty text
         theirs = codec.library.encode(chunks, num_threads=1)
-        back = [codec.decode_marked(x) for x in own]
         their_back = codec.library.decode(theirs, num_threads=1)
-        for chunk, ids, lib, text, lib_text in zip(chunks, own, theirs, back, their_back, strict=True):
+        for chunk, lib, lib_text in zip(chunks, theirs, their_back, strict=True):
+            ids = codec.encode_marked(MARK + chunk.replace(" ", MARK))
+            text = codec.decode_marked(ids)
             if chunk and (ids != lib or text[1:] != lib_text):
                 self.corrected.add(chunk)
                 ids, text = lib, " " + lib_text
-            self.ids[chunk] = ",".join(map(str, ids))
-            self.text[chunk] = text
+            if text != " " + chunk:
+                self.odd[chunk] = text
+            out.append(",".join(map(str, ids)))
+        return out
+
+    def _follow(self, marks: str) -> str:
+        """Ids of marks after letters, with a leading comma; the library shows them after one letter."""
+        ids, library = self.codec.encode_marked(marks), self.codec.library
+        if library.encode("a" + marks) != library.encode("a") + ids:
+            raise ValueError(f"the library joins letters with {marks}")
+        return "".join(f",{i}" for i in ids)
+
+    def learn(self, new: set[str]) -> None:
+        """Encode, decode and check chunks that the table lacks."""
+        if len(self.ids) > TABLE_CHUNKS:
+            self.ids = {}
+        if len(self.runs) > TABLE_CHUNKS:
+            self.runs, self.marks = {}, {"": ""}
+        plain, other, match = [], [], self.plain.fullmatch
+        for chunk in new:
+            if (m := match(chunk)) is not None:
+                plain.append((chunk, m[1], m[2]))
+            else:
+                other.append(chunk)
+        if other:
+            self.ids.update(zip(other, self._checked(other), strict=True))
+        runs, marks = self.runs, self.marks
+        if fresh := list({x[1] for x in plain}.difference(runs)):
+            runs.update(zip(fresh, self._checked(fresh), strict=True))
+        for x in {x[2] for x in plain}.difference(marks):
+            marks[x] = self._follow(x)
+        self.ids.update((chunk, runs[letters] + marks[mark]) for chunk, letters, mark in plain)
+        if self.odd or self.corrected:
+            for chunk, letters, mark in plain:
+                if letters in self.odd:
+                    self.odd[chunk] = self.odd[letters] + mark
+                if letters in self.corrected:
+                    self.corrected.add(chunk)
+
+
+    def encode(self, texts: list[list[str]]) -> list[str]:
+        """Decimal ids of each text's chunks; what the table lacks is learned together."""
+        with without_gc():
+            return self._encoded(texts)
+
+    def _encoded(self, texts: list[list[str]]) -> list[str]:
+        found = [list(map(self.ids.get, chunks)) for chunks in texts]
+        holes = [list(gaps(own)) for own in found]
+        if new := {chunks[k] for chunks, own in zip(texts, holes, strict=True) for k in own}:
+            self.learn(new)
+            for chunks, own, at in zip(texts, found, holes, strict=True):
+                for k in at:
+                    own[k] = self.ids[chunks[k]]
+        return [",".join(own) for own in found]
 
 
 _tables: dict[str, Table] = {}
@@ -197,12 +279,9 @@ def encoded(docs: DataFrame, model: str | None = None, texts: bool = False) -> D
                     found.append(table.chunks(all_texts[at] or ""))
                     size += len(found[-1])
                     at += 1
-                table.learn(found)
                 out: dict[str, list] = {"n": [], "i": [], "d": [], "l": [], "ids": [], "text": []}
-                for chunks in found:
-                    ids = ",".join(map(table.ids.__getitem__, chunks))
-                    text = "".join(map(table.text.__getitem__, chunks))
-                    text = text[1:] if text.startswith(" ") else text
+                for chunks, ids in zip(found, table.encode(found), strict=True):
+                    text = table.text(chunks)
                     out["n"].append(ids.count(",") + 1 if ids else 0)
                     out["i"].append(hashlib.sha256(ids.encode()).hexdigest())
                     out["d"].append(hashlib.sha256(text.encode()).hexdigest())
@@ -217,7 +296,7 @@ def encoded(docs: DataFrame, model: str | None = None, texts: bool = False) -> D
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

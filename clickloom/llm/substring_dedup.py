@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import PLAIN, grams, joined, signed, sliding_min, spans_hash, word_slices, written
+from clickloom.llm.common import PLAIN, grams, in_arrow, joined, signed, sliding_min, spans_hash, word_slices, written
 
 WINDOW = 50
 PREFIX = 16
@@ -65,7 +65,7 @@ def segments(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "key", "content", "start", "n"],
                 )
 
-    return docs.mapInArrow(run, _SEGMENTS)
+    return in_arrow(docs, run, _SEGMENTS)
 
 
 def _entries(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def _entries(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     lists = written(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "content", "start", "n")).alias("segments")))
-    return joined(docs, lists, "doc_id", "inner", 160).select("doc_id", "text", "segments").mapInArrow(run, "key long, content long, least long, n int, words binary")
+    return in_arrow(joined(docs, lists, "doc_id", "inner", 160).select("doc_id", "text", "segments"), run, "key long, content long, least long, n int, words binary")
 
 
 def _deep_nodes(entries: list[tuple[int, int, bytes]]):
@@ -143,7 +143,7 @@ def _trees(entries: DataFrame) -> DataFrame:
 
     spark = entries.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(n, "key").sortWithinPartitions("key", "content").mapInArrow(run, _RUNS)
+    return in_arrow(entries.repartition(n, "key").sortWithinPartitions("key", "content"), run, _RUNS)
 
 
 def _runs(rows: list) -> pa.RecordBatch:
@@ -166,7 +166,7 @@ def _whole_window_groups(entries: DataFrame) -> DataFrame:
                     names=["key", "content", "first", "label", "least"],
                 )
 
-    suffixes = entries.mapInArrow(run, "key long, content long, first int, label long, least long")
+    suffixes = in_arrow(entries, run, "key long, content long, first int, label long, least long")
     nodes = suffixes.groupBy("key", "label").agg(F.min("least").alias("least"))
     return suffixes.drop("least").join(nodes, ["key", "label"]).select("key", "content", "first", F.lit(1).alias("windows"), "least")
 
@@ -220,7 +220,7 @@ def deduplicated(docs: DataFrame, group_segments: int = GROUP_SEGMENTS) -> DataF
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    return joined(docs, found, "doc_id", "left", 160).select("doc_id", "text", "windows").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return in_arrow(joined(docs, found, "doc_id", "left", 160).select("doc_id", "text", "windows"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

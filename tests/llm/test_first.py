@@ -10,7 +10,7 @@ from clickloom.llm.common import PLAIN, shared_dir, sliding_min, word_slices
 from tests.conftest import DATA
 from tests.llm import helpers
 
-ODD = [None, "", " ", "  two  spaces ", "a\nb\r\n\tc", "naïve É 日本語 🙂 ▁ mark", "x" * 30000, "word " * 5000, "\u0000 nul", "don't 1234567 <s> </s> <|endoftext|>", "ﬁ ½ ǅ İ Σς", "a b c\u0085d", "same", "same"]
+ODD = ["a\x1cb \x1f\u2003c\u00a0d\u0085e \u0301f", None, "", " ", "  two  spaces ", "a\nb\r\n\tc", "naïve É 日本語 🙂 ▁ mark", "x" * 30000, "word " * 5000, "\u0000 nul", "don't 1234567 <s> </s> <|endoftext|>", "ﬁ ½ ǅ İ Σς", "a b c\u0085d", "same", "same"]
 
 
 def documents(sf="sf0.01"):
