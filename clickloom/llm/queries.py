@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import decontamination, media, near_dedup, page_text, sentencepiece_bpe, substring_dedup, token_counts, token_shards
+from clickloom.llm import decontamination, media, near_dedup, page_text, sentencepiece_bpe, substring_dedup, token_counts, token_shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece_bpe.query,
+        "op2_toxicity": toxicity.query,
         "op3_substring_dedup": substring_dedup.query,
         "op4_minhash_near_dedup": near_dedup.query,
         "op5_token_counts": token_counts.query,
