@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import decontamination, media, near_dedup, page_text, sentencepiece_bpe, substring_dedup, token_counts, token_shards, toxicity
+from clickloom.llm import decontamination, media, near_dedup, page_text, personal_data, sentencepiece_bpe, substring_dedup, token_counts, token_shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_near_dedup": near_dedup.query,
         "op5_token_counts": token_counts.query,
         "op6_page_text": page_text.query,
+        "op7_personal_data": personal_data.query,
         "op8_media": media.query,
         "op9_decontamination": decontamination.query,
         "op10_token_shards": token_shards.query,
