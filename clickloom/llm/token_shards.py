@@ -15,6 +15,7 @@ are separate documents in text order.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import shared_dir
+from clickloom.llm.common import gaps, in_arrow, shared_dir, without_gc
 
 MAGIC = b"LOOMZID1"
 END_ID = 2
@@ -34,10 +35,11 @@ NULL_ID = -(1 << 63)
 #: The dictionary is trained on at most so many documents, and on at most so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS = 2_000, 2_000
 DICTIONARY_BYTES = 64 << 10
-LEVEL = 3
+LEVEL = 1
 #: A shard is closed when it has this many bytes.
 SHARD_BYTES = 32 << 20
-TABLE_WORDS = 400_000
+#: Words, and runs of letters, that a Python worker keeps; a full table is emptied and fills again.
+TABLE_WORDS = 600_000
 
 SHARDS = "shard_key long, part long, path string, n_docs long, n_ids long"
 
@@ -48,8 +50,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A run of letters that the tokenizer keeps whole and lower-cases as Python does, then marks that it keeps whole too.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|$%&*#]*)")
+
+
 class Encoder(dict):
-    """Ids of a text as bytes. The tokenizer drops white space, so words between ASCII white space are encoded apart, each distinct one once by the library."""
+    """Ids of a text as bytes. The tokenizer drops white space, so words between ASCII white space are encoded apart, each distinct one once by the library.
+
+    Most words are letters and closing marks; the tokenizer cuts between the two. New runs of letters go to the library in one
+    call, where each is one pre-token, so the ids' pre-token numbers tell the runs apart.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -59,19 +69,54 @@ class Encoder(dict):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.end = struct.pack("<I", END_ID)
+        self.runs: dict[str, bytes] = {"": b""}
 
-    def learn(self, texts: list[list[str]]) -> None:
-        new = set().union(*texts).difference(self)
-        if len(self) + len(new) > TABLE_WORDS and len(self):
-            self.clear()
-            new = set().union(*texts)
-        words = list(new)
-        for word, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+    def _apart(self, words: list[str]) -> Iterator[bytes]:
+        for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
             ids = x.ids
-            self[word] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, words: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, words)) + self.end
+            yield struct.pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self, runs: list[str]) -> None:
+        for at in range(0, len(runs), 20_000):
+            own = runs[at : at + 20_000]
+            x = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
+            number = np.array(x.word_ids, dtype=np.int64)
+            if len(number) and number[-1] != len(own) - 1:
+                raise ValueError("the tokenizer cuts runs of letters")
+            raw, bounds = np.array(x.ids, "<u4").tobytes(), (4 * np.searchsorted(number, np.arange(len(own) + 1))).tolist()
+            self.runs.update((run, raw[bounds[k] : bounds[k + 1]]) for k, run in enumerate(own))
+
+    def learn(self, new: set[str]) -> None:
+        if len(self) > TABLE_WORDS:
+            self.clear()
+        if len(self.runs) > TABLE_WORDS:
+            self.runs = {"": b""}
+        plain, other, runs = [], [], self.runs
+        for word in new:
+            if (m := _PLAIN.fullmatch(word)) is not None:
+                plain.append((word, m[1].lower(), m[2]))
+            else:
+                other.append(word)
+        self.update(zip(other, self._apart(other), strict=True))
+        marks = list({x[2] for x in plain}.difference(runs))
+        runs.update(zip(marks, self._apart(marks), strict=True))
+        self._letters(list({x[1] for x in plain}.difference(runs)))
+        self.update((word, runs[letters] + runs[mark]) for word, letters, mark in plain)
+
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of each text, the end id last; what the table lacks is learned together."""
+        with without_gc():
+            return self._encoded(texts)
+
+    def _encoded(self, texts: list[list[str]]) -> list[bytes]:
+        found = [list(map(self.get, words)) for words in texts]
+        holes = [list(gaps(own)) for own in found]
+        if new := {words[k] for words, own in zip(texts, holes, strict=True) for k in own}:
+            self.learn(new)
+            for words, own, at in zip(texts, found, holes, strict=True):
+                for k in at:
+                    own[k] = self[words[k]]
+        return [b"".join(own) + self.end for own in found]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -86,11 +131,18 @@ def encoder_for(path: str) -> Encoder:
     return _encoders[path]
 
 
-_BLANKS = str.maketrans("\t\n\r", "   ")
+_SEPARATORS = tuple("\x1c\x1d\x1e\x1f")
 
 
 def words_of(text: str | None) -> list[str]:
-    return [x for x in (text or "").translate(_BLANKS).split(" ") if x]
+    """Words between white space, all of which the tokenizer drops; Python's split also drops four control characters that the tokenizer keeps."""
+    if not text:
+        return []
+    if any(c in text for c in _SEPARATORS):
+        return [x for x in re.split("[ \t\n\r]+", text) if x]
+    if text.isascii():
+        text = text.lower()  # as the tokenizer does
+    return text.split()
 
 
 def _files(uri: str):
@@ -110,10 +162,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
         encoder = encoder_for(tokenizer)
         for batch in batches:
             words = [words_of(x)[:SAMPLE_IDS] for x in batch.column(0).to_pylist()]
-            encoder.learn(words)
-            yield pa.RecordBatch.from_arrays([pa.array([encoder.encode(x)[: 4 * SAMPLE_IDS] for x in words], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[: 4 * SAMPLE_IDS] for x in encoder.encode(words)], pa.binary())], names=["ids"])
 
-    arrays = [bytes(r.ids) for r in sample.select("text").mapInArrow(ids, "ids binary").collect()]
+    arrays = [bytes(r.ids) for r in in_arrow(sample.select("text"), ids, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
     except zstandard.ZstdError:
@@ -168,12 +219,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, par
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for first in range(0, len(ids), 256):
                 words = [words_of(x) for x in texts.slice(first, 256).to_pylist()]
-                encoder.learn(words)
-                for doc_id, own in zip(ids[first : first + 256], words, strict=True):
+                for doc_id, own in zip(ids[first : first + 256], encoder.encode(words), strict=True):
                     if writer is None:
                         writer = _Writer(folder, shared.value)
                         key = (NULL_ID if doc_id is None else doc_id) if key is None else key
-                    writer.add(doc_id, encoder.encode(own))
+                    writer.add(doc_id, own)
                     if writer.at >= shard_bytes:
                         done.append(writer.close())
                         writer = None
@@ -186,7 +236,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, par
             )
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return docs.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(write, SHARDS)
+    return in_arrow(docs.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"), write, SHARDS)
 
 
 def _index(source, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -246,7 +296,7 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.select("path", "base").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_arrow(placed.select("path", "base").repartition(n), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def committed(shards: DataFrame, folder: str) -> DataFrame:
