@@ -185,7 +185,9 @@ def _ordered(spans: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets (overlapping spans by the first one's), n_chars renewed, their own columns."""
-    found = personal_data(docs)
+    own = {"base", "more", "more_id", "_new", *(f"_{kind}" for kind in KINDS)}
+    aside = {c: f"{c}__aside" for c in docs.columns if c.lower() in own}
+    found = personal_data(docs.withColumnsRenamed(aside))
     spans = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -200,7 +202,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     out = found.withColumn("_new", changed)
     size = F.length("_new").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     new_columns = {"text": F.col("_new").alias("text"), "n_chars": size}
-    return out.select(*(new_columns[c].alias(c) if c in new_columns else F.col(c) for c in docs.columns))
+    return out.select(*(new_columns[c].alias(c) if c in new_columns else F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -299,7 +299,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     own = usable.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(usable.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
     sample = F.broadcast(own.select(F.col("doc_id").alias("labelled"), "toxic"))  # at most MAX_TOXIC + MAX_CLEAN rows
-    return written(docs.join(sample, docs["doc_id"] == F.col("labelled")).select("text", "toxic"))
+    return written(docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("labelled")).select("text", "toxic"))
 
 
 def held_out(column: str):
