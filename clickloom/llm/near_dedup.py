@@ -2,7 +2,10 @@
 
 Each document's set of word shingles gives HASHES minima. Bands of full minima make candidates; of each minimum only the low
 BITS bits are kept, packed into longs, and the share of equal lanes, corrected for chance collisions, estimates similarity by
-bit counts inside the JVM. Estimates only discard pairs far below the threshold; every link is confirmed on full sets.
+bit counts inside the JVM. Estimates only discard pairs far below the threshold; every link is confirmed on full sets. A bitmap of
+the parity of shingles in each of PARITY bins goes along: bits in which two bitmaps differ are at most the shingles that only
+one set has, so a pair with too many such bits is surely no link, and families of copies that fall just short of each other need
+no confirmation pair by pair.
 
 Documents with the same set are one class first. Then (1) every bucket links its members to its smallest class: as many pairs
 as bucket rows; confirmed ones are joined into components. (2) Buckets that still hold several components are searched for
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import FOLDED, dropped, grams, joined, mix, signed, spans_hash, word_slices, written
+from clickloom.llm.common import FOLDED, dropped, grams, in_arrow, joined, mix, signed, spans_hash, word_slices, written
 
 SHINGLE = 5
 #: A link has 100 * intersection >= PERCENT * union.
@@ -33,6 +36,10 @@ FLOOR = 68
 #: Members compared with one copy of a leader's text.
 STAR = 64
 
+#: Bins of the parity bitmap.
+PARITY = 2048
+
+_PARITY = [f"p{i}" for i in range(PARITY // 64)]
 _SIGNATURE = [f"s{i}" for i in range(HASHES * BITS // 64)]
 _constants = np.random.default_rng(20240229).integers(0, 1 << 32, (2, HASHES), dtype=np.uint64).astype(np.uint32)
 _A, _B = _constants[0] | np.uint32(1), _constants[1]
@@ -74,20 +81,22 @@ def _packed(low: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set (null if empty), the packed low bits, and the band keys."""
-    names = ["doc_id", "n_shingles", "set_a", "set_b", *_SIGNATURE, "bands"]
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, " + "".join(f"{s} long, " for s in _SIGNATURE) + "bands array<long>"
+    names = ["doc_id", "n_shingles", "set_a", "set_b", *_SIGNATURE, *_PARITY, "bands"]
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, " + "".join(f"{s} long, " for s in (*_SIGNATURE, *_PARITY)) + "bands array<long>"
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             size, a, b = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            packed, bands = np.zeros((n, len(_SIGNATURE)), np.uint64), np.zeros((n, BANDS), np.uint64)
+            packed, bands = np.zeros((n, len(_SIGNATURE) + len(_PARITY)), np.uint64), np.zeros((n, BANDS), np.uint64)
             for k, own in enumerate(shingle_sets(batch.column(1))):
                 size[k] = len(own)
                 if len(own):
                     a[k], b[k] = own.sum(dtype=np.uint64), mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                     low = minima(own)
-                    packed[k] = _packed(low)
+                    packed[k, : len(_SIGNATURE)] = _packed(low)
+                    odd = np.bincount((own & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+                    packed[k, len(_SIGNATURE) :] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
                     rows = low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
                     key = _BAND_SEEDS
                     for j in range(ROWS):
@@ -96,11 +105,11 @@ def signatures(docs: DataFrame) -> DataFrame:
             none = size == 0
             flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(signed(bands.ravel()), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size), pa.array(signed(a), mask=none), pa.array(signed(b), mask=none), *(pa.array(signed(np.ascontiguousarray(packed[:, j]))) for j in range(len(_SIGNATURE))), flat],
+                [batch.column(0), pa.array(size), pa.array(signed(a), mask=none), pa.array(signed(b), mask=none), *(pa.array(signed(np.ascontiguousarray(packed[:, j]))) for j in range(packed.shape[1])), flat],
                 names=names,
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def equal_lanes(left: str, right: str):
@@ -116,6 +125,15 @@ def equal_lanes(left: str, right: str):
     return F.lit(HASHES) - differ
 
 
+def may_link(left: str, right: str):
+    """False for pairs that are no link: the estimate is far too low, or the parity bitmaps differ in too many bits."""
+    bits = F.lit(0)
+    for p in _PARITY:
+        bits = bits + F.bit_count(F.col(f"{left}.{p}").bitwiseXOR(F.col(f"{right}.{p}")))
+    sizes = F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles")
+    return (equal_lanes(left, right) >= FLOOR) & ((100 + PERCENT) * bits <= (100 - PERCENT) * sizes)
+
+
 def estimated_similarity(lanes):
     """Similarity from equal lanes, without the lanes that are equal by chance."""
     chance = 1 / (1 << BITS)
@@ -147,7 +165,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.select("a", "star", "role", "doc_id", "text").repartition(n, "a", "star").sortWithinPartitions("a", "star", "role", "doc_id")
-    return dealt.mapInArrow(run, "a long, b long")
+    return in_arrow(dealt, run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,13 +201,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed_docs.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
     members = written(signed_docs.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
     heads = written(signed_docs.where("n_shingles > 0").join(members.where("doc_id = class_id and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "class_id"))
-    lanes = heads.select("class_id", *_SIGNATURE)
+    lanes = heads.select("class_id", "n_shingles", *_SIGNATURE, *_PARITY)
     buckets = heads.select("class_id", F.explode("bands").alias("band"))
     crowded = written(buckets.groupBy("band").agg(F.min("class_id").alias("a"), F.max("class_id").alias("last")).where("a < last").select("band", "a"))
     rows = written(joined(buckets, crowded, "band", "inner", 24))
 
     stars = rows.where("a != class_id").select("a", F.col("class_id").alias("b")).distinct()
-    first = written(_estimated(stars, lanes).where(F.col("lanes") >= FLOOR).select("a", "b"))
+    first = written(_likely(stars, lanes))
     links = written(confirmed(docs, first))
     nodes = rows.select("class_id").distinct()
     labels = written(_labels(nodes, links))
@@ -197,10 +215,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = joined(rows.select("band", "class_id"), labels, "class_id", "inner", 24)
     mixed = placed.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("band")
     open_rows = written(joined(placed, written(mixed), "band", "left_semi", 16))
-    open_rows = written(joined(open_rows, lanes, "class_id", "inner", 96))
+    open_rows = written(joined(open_rows, lanes, "class_id", "inner", 400))
     x, y = open_rows.alias("x"), open_rows.alias("y")
     across = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.component") != F.col("y.component")) & (equal_lanes("x", "y") >= FLOOR))
+        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
         .select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"), equal_lanes("x", "y").alias("lanes"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
@@ -220,12 +238,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _estimated(pairs: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their equal lanes."""
-    pairs = written(pairs)
-    x = lanes.select(F.col("class_id").alias("a"), F.struct(*_SIGNATURE).alias("x"))
-    y = lanes.select(F.col("class_id").alias("b"), F.struct(*_SIGNATURE).alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", equal_lanes("x", "y").alias("lanes"))
+def _likely(pairs: DataFrame, lanes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that may be links."""
+    own = F.struct("n_shingles", *_SIGNATURE, *_PARITY)
+    x, y = lanes.select(F.col("class_id").alias("a"), own.alias("x")), lanes.select(F.col("class_id").alias("b"), own.alias("y"))
+    return pairs.join(x, "a").join(y, "b").where(may_link("x", "y")).select("a", "b")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
