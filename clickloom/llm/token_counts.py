@@ -23,7 +23,7 @@ DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens lon
 
 
 class Rollup:
-    """Totals in one shared folder: deltas/<batch id>."""
+    """Totals in one shared folder: deltas/<batch id>, deltas/fold-<id> and folds/<id>, the batch ids that the fold stands for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -32,41 +32,44 @@ class Rollup:
         self._files = jvm.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._files.mkdirs(self._path(f"{folder}/deltas"))
 
+    def _state(self) -> tuple[set[str], set[str]]:
+        """Names of the deltas that count, and ids of all committed batches."""
+        names = {x.getPath().getName() for x in self._files.listStatus(self._path(f"{self.folder}/deltas"))}
+        folds = [n for n in names if n.startswith("fold-")]
+        folded = {r.value for n in folds for r in self.spark.read.text(f"{self.folder}/folds/{n}").toLocalIterator()}
+        return names - folded, {n for n in names if n not in folds} | {n for n in folded if not n.startswith("fold-")}
+
     def batches(self) -> list[str]:
         """Ids of the committed batches."""
-        names = [x.getPath().getName() for x in self._files.listStatus(self._path(f"{self.folder}/deltas"))]
-        return sorted({b for n in names for b in n.removeprefix("folded+").split("+")})
+        return sorted(self._state()[1])
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add signed counts (source, lang, tokenizer, sign, n_tokens); False if the batch was committed before."""
-        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id):
-            raise ValueError("a batch id has letters, digits, points, hyphens and underscores")
-        if batch_id in self.batches():
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id) or batch_id.startswith("fold-"):
+            raise ValueError("a batch id has letters, digits, points, hyphens and underscores, and doesn't begin with fold-")
+        if batch_id in self._state()[1]:
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
         own = f"{self.folder}/tmp/{uuid.uuid4().hex}"
         sums.where("n_docs != 0 or n_tokens != 0").write.parquet(own)
         return bool(self._files.rename(self._path(own), self._path(f"{self.folder}/deltas/{batch_id}")))
 
-    def _deltas(self) -> list[str]:
-        return sorted(x.getPath().toString() for x in self._files.listStatus(self._path(f"{self.folder}/deltas")))
-
     def totals(self) -> DataFrame:
-        paths = self._deltas()
+        paths = [f"{self.folder}/deltas/{n}" for n in sorted(self._state()[0])]
         every = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
         return every.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
     def compact(self) -> None:
         """Fold all deltas into one; for a time when no batch is being committed."""
-        old = self._deltas()
-        if len(old) < 2:
+        live, known = self._state()
+        if len(live) < 2:
             return
-        own = f"{self.folder}/tmp/{uuid.uuid4().hex}"
-        self.totals().write.parquet(own)
-        name = "folded+" + "+".join(self.batches())
-        for path in old:
-            self._files.rename(self._path(path), self._path(f"{self.folder}/tmp/{uuid.uuid4().hex}"))
-        self._files.rename(self._path(own), self._path(f"{self.folder}/deltas/{name}"))
+        name = f"fold-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{self.folder}/tmp/{name}")
+        self.spark.createDataFrame([(x,) for x in sorted(live | known)], "value string").write.text(f"{self.folder}/folds/{name}")
+        if self._files.rename(self._path(f"{self.folder}/tmp/{name}"), self._path(f"{self.folder}/deltas/{name}")):
+            for old in live:
+                self._files.delete(self._path(f"{self.folder}/deltas/{old}"), True)
 
 
 def counted(docs: DataFrame) -> DataFrame:

@@ -62,7 +62,11 @@ def test_rollup(spark):
     want = {("s", "en", "t", 2, 13), ("z", "de", "t", 1, 1)}
     assert {tuple(r) for r in rollup.totals().collect()} == want
     rollup.compact()
-    assert rollup.batches() == ["a", "b"] and {tuple(r) for r in rollup.totals().collect()} == want and not rollup.commit("b", rows(("s", "en", "t", 1, 5)))
+    assert rollup.commit("c", rows(("z", "de", "t", 1, 2))) and rollup.commit("d", rows(("z", "de", "t", -1, 2)))
+    rollup.compact()
+    rollup.compact()
+    assert rollup.batches() == ["a", "b", "c", "d"] and not rollup.commit("c", rows(("z", "de", "t", 1, 2)))
+    assert rollup.batches()[:2] == ["a", "b"] and {tuple(r) for r in rollup.totals().collect()} == want and not rollup.commit("b", rows(("s", "en", "t", 1, 5)))
 
 
 def test_counts_equal_sql(spark):
