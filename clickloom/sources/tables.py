@@ -95,5 +95,5 @@ def ad_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ad clicks from click events: ts, date, province, city, user_id, ad_id."""
     homes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("city_id"))
     events = table(spark, sf_dir, "events").where(F.col("event_type") == "click")
-    rows = events.join(homes, "user_id").join(F.broadcast(cities(spark, sf_dir)), "city_id")  # nations are a fixed few
+    rows = events.join(homes, "user_id").join(cities(spark, sf_dir), "city_id")
     return rows.select("event_id", "ts", F.to_date("ts").alias("date"), F.col("area").alias("province"), F.col("city_name").alias("city"), "user_id", F.get_json_object("props", "$.k").try_cast("long").alias("ad_id"))
