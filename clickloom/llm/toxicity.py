@@ -36,11 +36,11 @@ from clickloom.llm.common import in_arrow, without_gc, written
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
 #: Bounds of what reaches the driver: marking strings, toxic units, clean units.
 MAX_STRINGS, MAX_POSITIVE, MAX_NEGATIVE = 5_000, 3_000, 6_000
-LANDMARKS = 160
+LANDMARKS = 96
 #: The kernel, which is 1 for equal units, is taken to this power: near spellings count, chance resemblance doesn't.
 DEGREE = 3
 #: A unit whose kernel with every toxic landmark is surely below this is far from all.
-FLOOR = 0.35
+FLOOR = 0.45
 #: Groups of like landmarks for the bound.
 GROUPS = 32
 RIDGE = 1e-5
@@ -185,9 +185,10 @@ class Machine:
         self.kernel, self.beta, self.bias = kernel, beta, bias
         self.curve = np.array([2.0, 0.0, 0.0, 0.0, 0.0])
         self.scores: dict[str, float] = {}
+        self.of_units: dict[str, float] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "scores": {}}
+        return {**self.__dict__, "scores": {}, "of_units": {}}
 
     def score_units(self, strings: list[str]) -> np.ndarray:
         """Decision of each unit; one that can't be near any toxic landmark has the bias alone."""
@@ -199,20 +200,21 @@ class Machine:
         return out
 
     def learn(self, found: set[str]) -> None:
-        """Score the tokens that the table lacks."""
+        """Score the tokens that the table lacks; a unit that many tokens share (with other marks around it) once."""
         new = list(found.difference(self.scores))
         if len(self.scores) + len(new) > TABLE_WORDS and self.scores:
             self.scores = {}
             new = list(found)
+        if len(self.of_units) > TABLE_WORDS:
+            self.of_units = {}
         if not new:
             return
         parts = [units(t) for t in new]
-        flat = [u for p in parts for u in p]
-        scored = self.score_units(flat).tolist() if flat else []
-        at = 0
-        for token, part in zip(new, parts, strict=True):
-            self.scores[token] = max(scored[at : at + len(part)], default=self.bias - 1.0)
-            at += len(part)
+        fresh = list({u for p in parts for u in p}.difference(self.of_units))
+        if fresh:
+            self.of_units.update(zip(fresh, self.score_units(fresh).tolist(), strict=True))
+        get, none = self.of_units.__getitem__, self.bias - 1.0
+        self.scores.update((token, max(map(get, part), default=none)) for token, part in zip(new, parts, strict=True))
 
     def top(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
         """The TOP largest scores of each text's distinct tokens, and the token with the largest."""
