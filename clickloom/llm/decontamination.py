@@ -173,7 +173,28 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op9: contamination of every document by the benchmark table, as digests."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     report = contamination(read("documents"), read("benchmark"))
-    return report.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), F.coalesce(F.array_max(F.transform("longest", lambda x: x["length"])), F.lit(0)).alias("longest_match"),
-    )
+    return report.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark
+), sized AS (
+  SELECT item, w, least({WINDOW}, len(w)) AS n FROM items WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM sized, unnest(generate_series(1, len(w) - n + 1)) AS t(i)
+), docs AS (
+  SELECT doc_id, {_SQL_WORDS} AS w FROM documents
+), doc_windows AS (
+  SELECT doc_id, i AS p, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM docs, (SELECT DISTINCT n FROM windows) AS s, unnest(generate_series(1, len(w) - n + 1)) AS t(i) WHERE len(w) >= n
+), hits AS (
+  SELECT DISTINCT doc_id, p, doc_windows.n, item FROM doc_windows JOIN windows ON doc_windows.n = windows.n AND doc_windows.g = windows.g
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS x FROM (SELECT DISTINCT doc_id, p, n FROM hits)) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hits GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items i ON d.doc_id = i.doc_id
+"""

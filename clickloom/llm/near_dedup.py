@@ -198,8 +198,10 @@ def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (whether it is that document)."""
     signed_docs = written(signatures(docs))
-    classes = signed_docs.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
-    members = written(signed_docs.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
+    small = signed_docs.select("doc_id", "n_shingles", "set_a", "set_b")
+    classes = written(small.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id")))
+    alone = small.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"))
+    members = written(joined(small.where("n_shingles > 0"), classes, ["set_a", "set_b"], "left", 40).select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")).unionByName(alone))
     heads = written(signed_docs.where("n_shingles > 0").join(members.where("doc_id = class_id and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "class_id"))
     lanes = heads.select("class_id", "n_shingles", *_SIGNATURE, *_PARITY)
     buckets = heads.select("class_id", F.explode("bands").alias("band"))
@@ -254,3 +256,24 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: near-duplicate components of all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' ')) AS g FROM docs, unnest(generate_series(1, greatest(1, len(w) - {SHINGLE - 1}))) AS t(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * shared >= {PERCENT} * (x.n + y.n - shared)
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM docs
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, low AS component_id, d.doc_id = low AS kept
+FROM docs d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN (SELECT a, min(b) AS low FROM reached GROUP BY a) c ON d.doc_id = c.a
+"""

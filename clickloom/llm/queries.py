@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_token_counts": token_counts.ORACLE}
+    return {
+        "op3_substring_dedup": substring_dedup.ORACLE,
+        "op4_minhash_near_dedup": near_dedup.ORACLE,
+        "op5_token_counts": token_counts.ORACLE,
+        "op9_decontamination": decontamination.ORACLE,
+    }

@@ -226,3 +226,24 @@ def deduplicated(docs: DataFrame, group_segments: int = GROUP_SEGMENTS) -> DataF
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: what each document keeps once passages of earlier documents are removed."""
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+
+
+ORACLE = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ')) AS g FROM docs, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS t(i) WHERE len(w) >= {WINDOW}
+), earliest AS (
+  SELECT g, min(doc_id) AS low FROM windows GROUP BY g
+), removed AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + {WINDOW - 1})) AS p FROM windows JOIN earliest ON windows.g = earliest.g WHERE low < doc_id
+), placed AS (
+  SELECT doc_id, p, w[p] AS word FROM docs, unnest(generate_series(1, len(w))) AS t(p) WHERE len(w) > 0
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM placed ANTI JOIN removed USING (doc_id, p) GROUP BY doc_id
+), gone AS (
+  SELECT doc_id, count(*) AS n FROM removed GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN gone g ON d.doc_id = g.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
