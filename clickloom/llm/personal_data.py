@@ -2,8 +2,9 @@
 
 Seeds are the identifiers that four base patterns find. Their contexts (the word before and the word after) induce lexical
 patterns; each pattern is scored by how much of what it surrounds is known, each unknown identifier-like word by the patterns
-around it, and the two scores are passed along the pattern-instance graph for a few rounds, each a grouped aggregate. Words
-that patterns of high confidence surround become identifiers too, wherever they stand in such a context. The base spans stay.
+around it, and the two scores are passed along the pattern-instance graph for a few rounds, each a grouped aggregate. Words that
+patterns of high confidence surround on both sides, or on one side if a seed has their form, become identifiers too. The base spans
+stay.
 
 Positions are code points. A base pattern is found by splitting the text at its matches: the gaps' and the matches' lengths,
 summed in order, are the positions. The patterns are written so that the Java matcher neither recurses nor starts again inside a
@@ -154,12 +155,12 @@ def trusted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
-    """doc_id and the spans of unknown words that trusted patterns surround and whose form a seed of that kind shows too."""
+    """doc_id and the spans of unknown words that trusted patterns surround: on one side, if a seed of that kind has the word's form, on both sides whatever its form."""
     shapes = found.where("known").select(F.col("kind").alias("seed_kind"), _shape(F.col("value")).alias("shape")).distinct()
     rows = found.where(~F.col("known")).select("doc_id", "start", "end", "value", F.explode("contexts").alias("pattern"))
     near = joined(rows, patterns, "pattern", "inner", 80).withColumn("shape", _shape(F.col("value")))
     sure = near.join(shapes.withColumn("like", F.lit(1)), ["seed_kind", "shape"], "left")
-    belief = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence") * F.when(F.col("like") == 1, 1.0).otherwise(0.9), F.lit(1e-9)))))
+    belief = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence") * F.when(F.col("like") == 1, 1.0).when(F.col("pattern").startswith("="), 0.9).otherwise(0.0), F.lit(1e-9)))))
     each = sure.groupBy("doc_id", "start", "end", "value").agg(belief.alias("belief"), F.max_by("seed_kind", F.struct("confidence", "seed_kind")).alias("kind")).where(F.col("belief") >= WORD_CONFIDENCE)
     return each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("more"))
 
