@@ -212,13 +212,38 @@ def ship(spark: SparkSession) -> None:
     sys.path[:] = [x for x in sys.path if not x.endswith(Path(path).name)]
 
 
-def in_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow over batches of at most BATCH_ROWS rows: the session's limit is lowered where it is higher."""
+_held: dict[tuple[str, str], object] = {}
+
+
+def held(kind: str, name: str, make):
+    """A table that a Python worker keeps between tasks; see in_arrow for when it goes."""
+    if (kind, name) not in _held:
+        _held[kind, name] = make()
+    return _held[kind, name]
+
+
+def _keep_only(kind: str) -> None:
+    if others := [k for k in _held if k[0] != kind]:
+        for k in others:
+            del _held[k]
+        gc.collect()
+
+
+def in_arrow(df: DataFrame, function, schema, holds: str = "") -> DataFrame:
+    """df.mapInArrow over batches of at most BATCH_ROWS rows: the session's limit is lowered where it is higher.
+
+    Workers are used again for other functions; before this one runs, they give up the tables of every kind but `holds`.
+    """
     ship(df.sparkSession)
     key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, BATCH_ROWS)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        _keep_only(holds)
+        yield from function(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import gaps, in_arrow, without_gc
+from clickloom.llm.common import gaps, held, in_arrow, without_gc
 
 MARK = "▁"
 #: Chunks kept by a Python worker; a full table is emptied and fills again.
-TABLE_CHUNKS = 500_000
+TABLE_CHUNKS = 400_000
 
 #: Symbols up to which the agenda is a flat list.
 SHORT = 40
@@ -181,7 +181,7 @@ class Table:
     def text(self, chunks: list[str]) -> str:
         """The decoded text of chunks."""
         if self.odd:
-            joint = "".join(self.odd.get(x) or " " + x for x in chunks)
+            joint = "".join(self.odd.get(x, " " + x) for x in chunks)
             return joint[1:] if joint.startswith(" ") else joint
         return " ".join(chunks)
 
@@ -253,13 +253,8 @@ class Table:
         return [",".join(own) for own in found]
 
 
-_tables: dict[str, Table] = {}
-
-
 def table_for(model: str) -> Table:
-    if model not in _tables:
-        _tables[model] = Table(model)
-    return _tables[model]
+    return held("sentencepiece", model, lambda: Table(model))
 
 
 def encoded(docs: DataFrame, model: str | None = None, texts: bool = False) -> DataFrame:
@@ -296,7 +291,7 @@ def encoded(docs: DataFrame, model: str | None = None, texts: bool = False) -> D
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema, "sentencepiece")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ TOP = 4
 LONG = 24
 #: Log-likelihood above that of chance at which a string marks toxicity, beyond the logarithm of the number of strings tried.
 EVIDENCE = 10.0
-TABLE_WORDS = 400_000
+TABLE_WORDS = 300_000
 
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
