@@ -15,6 +15,7 @@ are separate documents in text order.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import uuid
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import gaps, in_arrow, shared_dir, without_gc
+from clickloom.llm.common import gaps, held, in_arrow, shared_dir, without_gc
 
 MAGIC = b"LOOMZID1"
 END_ID = 2
@@ -119,16 +120,9 @@ class Encoder(dict):
         return [b"".join(own) + self.end for own in found]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_for(path: str) -> Encoder:
-    if path not in _encoders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return held("tokenizer", path, lambda: Encoder(path))
 
 
 _SEPARATORS = tuple("\x1c\x1d\x1e\x1f")
@@ -140,11 +134,20 @@ def words_of(text: str | None) -> list[str]:
         return []
     if any(c in text for c in _SEPARATORS):
         return [x for x in re.split("[ \t\n\r]+", text) if x]
-    if text.isascii():
-        text = text.lower()  # as the tokenizer does
+    if text.isascii() or _latin(text):
+        text = text.lower()  # as the tokenizer does; capital and small spellings are looked up once
     return text.split()
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are Latin-1, which Python and the tokenizer lower-case alike."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _files(uri: str):
     """(file system, path) of a folder that all executors share."""
     from pyarrow import fs
@@ -156,7 +159,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A dictionary from the documents with the smallest hashes of their ids; empty where there is too little to train on."""
     import zstandard
 
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    # the smallest hashes are found on the ids alone; texts are read for these few
+    smallest = F.broadcast(docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))
+    sample = docs.join(smallest, "doc_id", "left_semi").limit(SAMPLE_DOCS)
 
     def ids(batches):
         encoder = encoder_for(tokenizer)
@@ -164,7 +169,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
             words = [words_of(x)[:SAMPLE_IDS] for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[: 4 * SAMPLE_IDS] for x in encoder.encode(words)], pa.binary())], names=["ids"])
 
-    arrays = [bytes(r.ids) for r in in_arrow(sample.select("text"), ids, "ids binary").collect()]
+    arrays = [bytes(r.ids) for r in in_arrow(sample.select("text"), ids, "ids binary", "tokenizer").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
     except zstandard.ZstdError:
@@ -236,7 +241,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, par
             )
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return in_arrow(docs.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"), write, SHARDS)
+    return in_arrow(docs.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"), write, SHARDS, "tokenizer")
 
 
 def _index(source, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
