@@ -235,6 +235,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     figure = F.concat(F.lit('<figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>"))
     pages = store.select(F.col("doc_id").alias("page_id"), figure.alias("html"))
     references = interleaved(pages).select(F.col("page_id").alias("doc_id"), F.explode("items").alias("item"))
-    found = references.join(facts(store), F.col("item.digest") == F.col("digest"))
+    found = references.join(written(facts(store)), F.col("item.digest") == F.col("digest"))  # written, so that Spark may split the join of a hot digest
     size = F.split("item.caption", " ")[0].cast("long")
     return found.select("doc_id", size.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -167,7 +167,7 @@ def _whole_window_groups(entries: DataFrame) -> DataFrame:
                 )
 
     suffixes = in_arrow(entries, run, "key long, content long, first int, label long, least long")
-    nodes = suffixes.groupBy("key", "label").agg(F.min("least").alias("least"))
+    nodes = written(suffixes.groupBy("key", "label").agg(F.min("least").alias("least")))  # written, so that Spark may split the join of a hot window
     return suffixes.drop("least").join(nodes, ["key", "label"]).select("key", "content", "first", F.lit(1).alias("windows"), "least")
 
 
