@@ -256,10 +256,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read back: lineage ends here and a lost executor costs nothing."""
+def written(df: DataFrame, narrow: int = 1) -> DataFrame:
+    """df, written as Parquet in the shared folder and read back: lineage ends here and a lost executor costs nothing.
+
+    narrow: for small results of a shuffle, so many of its partitions go to one file (a file costs more than its few rows).
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
+    if narrow > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // narrow))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

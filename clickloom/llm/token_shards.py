@@ -39,8 +39,9 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 1
 #: A shard is closed when it has this many bytes.
 SHARD_BYTES = 32 << 20
-#: Words, and runs of letters, that a Python worker keeps; a full table is emptied and fills again.
-TABLE_WORDS = 600_000
+#: Words, and runs of letters, that a Python worker keeps; a full table is emptied and fills again. A word whose letters are
+#: known costs no call of the library, so there is more room for these.
+TABLE_WORDS, TABLE_RUNS = 500_000, 600_000
 
 SHARDS = "shard_key long, part long, path string, n_docs long, n_ids long"
 
@@ -90,7 +91,7 @@ class Encoder(dict):
     def learn(self, new: set[str]) -> None:
         if len(self) > TABLE_WORDS:
             self.clear()
-        if len(self.runs) > TABLE_WORDS:
+        if len(self.runs) > TABLE_RUNS:
             self.runs = {"": b""}
         plain, other, runs = [], [], self.runs
         for word in new:
@@ -185,7 +186,10 @@ class _Writer:
         self.files, self.folder = _files(folder)
         self.name = f"{self.folder}/{uuid.uuid4().hex}"
         self.out = self.files.open_output_stream(self.name + ".tmp")
-        self.pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=False)
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared is not None:
+            shared.precompute_compress(level=LEVEL)  # else every frame digests the dictionary
+        self.pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=False)
         self.out.write(MAGIC + hashlib.sha256(dictionary).digest())
         self.at, self.ids, self.offsets, self.counts = len(MAGIC) + 32, [], [], []
 
@@ -307,7 +311,9 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
 def committed(shards: DataFrame, folder: str) -> DataFrame:
     """The list of shards, written once: reading it again does not encode again."""
     spark: SparkSession = shards.sparkSession
-    shards.write.parquet(f"{folder}/manifest")
+    # a shuffle of a row per shard: the shards are written with full parallelism, their list to a few files
+    few = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 64)
+    shards.repartition(few).write.parquet(f"{folder}/manifest")
     return spark.read.schema(shards.schema).parquet(f"{folder}/manifest")
 
 
