@@ -35,6 +35,8 @@ BANDS = HASHES // ROWS
 FLOOR = 68
 #: Members compared with one copy of a leader's text.
 STAR = 64
+#: Shuffle partitions in a file of a small table.
+_FEW = 8
 
 #: Bins of the parity bitmap.
 PARITY = 2048
@@ -171,7 +173,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge (a, b); component is its smallest node. Alternating large and small stars, each round a written table."""
     spark = edges.sparkSession
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), _FEW)
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -179,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        after = written(small)
+        after = written(small, _FEW)
         seen = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
         dropped(spark, now)
         now = after
@@ -191,7 +193,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (class_id, ...) with their component so far."""
-    found = written(components(edges))
+    found = written(components(edges), _FEW)
     return joined(nodes, found.withColumnRenamed("node", "class_id"), "class_id", "left", 24).withColumn("component", F.coalesce("component", "class_id"))
 
 
@@ -199,24 +201,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (whether it is that document)."""
     signed_docs = written(signatures(docs))
     small = signed_docs.select("doc_id", "n_shingles", "set_a", "set_b")
-    classes = written(small.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id")))
+    classes = written(small.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id")), _FEW)
     alone = small.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"))
     members = written(joined(small.where("n_shingles > 0"), classes, ["set_a", "set_b"], "left", 40).select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")).unionByName(alone))
     heads = written(signed_docs.where("n_shingles > 0").join(members.where("doc_id = class_id and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "class_id"))
     lanes = heads.select("class_id", "n_shingles", *_SIGNATURE, *_PARITY)
     buckets = heads.select("class_id", F.explode("bands").alias("band"))
-    crowded = written(buckets.groupBy("band").agg(F.min("class_id").alias("a"), F.max("class_id").alias("last")).where("a < last").select("band", "a"))
+    crowded = written(buckets.groupBy("band").agg(F.min("class_id").alias("a"), F.max("class_id").alias("last")).where("a < last").select("band", "a"), _FEW)
     rows = written(joined(buckets, crowded, "band", "inner", 24))
 
     stars = rows.where("a != class_id").select("a", F.col("class_id").alias("b")).distinct()
     first = written(_likely(stars, lanes))
     links = written(confirmed(docs, first))
     nodes = rows.select("class_id").distinct()
-    labels = written(_labels(nodes, links))
+    labels = written(_labels(nodes, links), _FEW)
 
     placed = joined(rows.select("band", "class_id"), labels, "class_id", "inner", 24)
     mixed = placed.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("band")
-    open_rows = written(joined(placed, written(mixed), "band", "left_semi", 16))
+    open_rows = written(joined(placed, written(mixed, _FEW), "band", "left_semi", 16))
     open_rows = written(joined(open_rows, lanes, "class_id", "inner", 400))
     x, y = open_rows.alias("x"), open_rows.alias("y")
     across = (
@@ -228,14 +230,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = written(across)
     if not left.isEmpty():
         ends = left.select(F.col("a").alias("end"), "a", "b", "lanes").unionByName(left.select(F.col("b").alias("end"), "a", "b", "lanes"))
-        best = written(ends.groupBy("end").agg(F.max(F.struct("lanes", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x")).select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b")).distinct())
+        best = written(ends.groupBy("end").agg(F.max(F.struct("lanes", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x")).select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b")).distinct(), _FEW)
         links = written(links.unionByName(confirmed(docs, best)))
-        labels = written(_labels(nodes, links))
+        labels = written(_labels(nodes, links), _FEW)
         label = lambda end: labels.select(F.col("class_id").alias(end), F.col("component").alias(f"{end}_is"))
-        rest = written(left.join(best, ["a", "b"], "left_anti").join(label("a"), "a").join(label("b"), "b").where("a_is != b_is").select("a", "b"))
+        rest = written(left.join(best, ["a", "b"], "left_anti").join(label("a"), "a").join(label("b"), "b").where("a_is != b_is").select("a", "b"), _FEW)
         if not rest.isEmpty():
             links = written(links.unionByName(confirmed(docs, rest)))
-            labels = written(_labels(nodes, links))
+            labels = written(_labels(nodes, links), _FEW)
     out = joined(members, labels, "class_id", "left", 24).select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

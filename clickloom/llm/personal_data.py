@@ -140,18 +140,19 @@ def trusted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = written(
         found.select(F.explode("contexts").alias("pattern"), "value", "known", "kind", "doc_id")
         .groupBy("pattern", "value")
-        .agg(F.max("known").alias("known"), F.min("kind").alias("kind"), F.approx_count_distinct("doc_id").alias("docs"))
+        .agg(F.max("known").alias("known"), F.min("kind").alias("kind"), F.approx_count_distinct("doc_id").alias("docs")),
+        8,
     )
     seeded = edges.where("known").groupBy("pattern").agg(F.sum(F.least("docs", F.lit(1))).alias("seeds"), F.count_distinct("kind").alias("kinds"), F.min("kind").alias("seed_kind"))
-    good = written(seeded.where((F.col("seeds") >= SUPPORT) & (F.col("kinds") == 1)).select("pattern", "seed_kind"))
-    own = written(joined(edges, good, "pattern", "inner", 80))
+    good = written(seeded.where((F.col("seeds") >= SUPPORT) & (F.col("kinds") == 1)).select("pattern", "seed_kind"), 8)
+    own = written(joined(edges, good, "pattern", "inner", 80), 8)
     scores = own.select("pattern", "value", F.col("known").cast("double").alias("score"))
     confidence = None
     for _ in range(rounds):
         confidence = scores.groupBy("pattern").agg(F.avg("score").alias("confidence"))
         word = own.join(confidence, "pattern").groupBy("value").agg(F.max(F.col("known").cast("int")).alias("known"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("belief"))
         scores = own.select("pattern", "value").join(word, "value").select("pattern", "value", F.when(F.col("known") == 1, 1.0).otherwise(F.col("belief") * F.lit(0.5)).alias("score"))
-    return written(scores.groupBy("pattern").agg(F.avg("score").alias("confidence")).where(F.col("confidence") >= PATTERN_CONFIDENCE).join(good, "pattern"))
+    return written(scores.groupBy("pattern").agg(F.avg("score").alias("confidence")).where(F.col("confidence") >= PATTERN_CONFIDENCE).join(good, "pattern"), 8)
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """docs with `base` spans and `more`, the discovered ones (kind, start, end, value)."""
     marked = base_spans(docs)
     graph = written(occurrences(marked.select("doc_id", "text", "base")))
-    more = written(discovered(graph, trusted(graph)))
+    more = written(discovered(graph, trusted(graph)), 8)
     out = joined(marked, more.withColumnRenamed("doc_id", "more_id"), F.col("doc_id").eqNullSafe(F.col("more_id")), "left", 200).drop("more_id")
     return out.withColumn("more", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))
 
