@@ -36,11 +36,11 @@ from clickloom.llm.common import in_arrow, without_gc, written
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
 #: Bounds of what reaches the driver: marking strings, toxic units, clean units.
 MAX_STRINGS, MAX_POSITIVE, MAX_NEGATIVE = 5_000, 3_000, 6_000
-LANDMARKS = 96
+LANDMARKS = 160
 #: The kernel, which is 1 for equal units, is taken to this power: near spellings count, chance resemblance doesn't.
 DEGREE = 3
 #: A unit whose kernel with every toxic landmark is surely below this is far from all.
-FLOOR = 0.45
+FLOOR = 0.35
 #: Groups of like landmarks for the bound.
 GROUPS = 32
 RIDGE = 1e-5
@@ -265,6 +265,19 @@ def _machine(kernel: Kernel, landmarks: list[str], strings: list[str], labels: n
     return Machine(kernel, root @ w[:-1], float(w[-1]))
 
 
+def _covering(words: list[str], weight: np.ndarray, n: int) -> list[str]:
+    """So many of the words, taken one by one: first those that bring the most others (by weight) up to FLOOR, then those that most raise the words' largest kernel values."""
+    like = np.hstack([Kernel(words[at : at + 300], 0)(words) for at in range(0, len(words), 300)])
+    worth = 100 * np.minimum(like, FLOOR) + like**DEGREE
+    most, taken = np.zeros(len(words), dtype=np.float32), []
+    for _ in range(min(n, len(words))):
+        gain = weight.astype(np.float32) @ np.maximum(worth - most[:, None], 0)
+        gain[taken] = -1
+        taken.append(int(np.argmax(gain)))
+        most = np.maximum(most, worth[:, taken[-1]])
+    return [words[k] for k in taken]
+
+
 def _respelled(words: list[str], rng: np.random.Generator) -> list[str]:
     """One respelling with an inserted letter and one with gaps, for each word."""
     out = []
@@ -349,8 +362,7 @@ def _trained(positive: dict[str, int], negative: dict[str, int], tops) -> Machin
     rng = np.random.default_rng(7)
     ranked, others = list(positive), list(negative)
     respelled = _respelled(ranked[:600], rng)
-    step = max(1, len(ranked) // (LANDMARKS // 2))
-    landmarks = list(dict.fromkeys(ranked[: LANDMARKS // 3] + ranked[::step]))[: LANDMARKS * 3 // 4]
+    landmarks = _covering(ranked, np.log1p(list(positive.values())), LANDMARKS * 3 // 4)
     first = len(landmarks)
     like = Kernel(landmarks).bound(others)
     landmarks += [others[int(k)] for k in np.argsort(-like, kind="stable")[: LANDMARKS - first]]

@@ -53,6 +53,18 @@ def test_bound_and_kernel():
     assert values[0, 0] > 0.95 and values[1, 0] > values[3, 0] and np.all(kernel.bound(strings) >= values[:, :2].max(axis=1) - 1e-5)
 
 
+def test_rare_insults_unlike_the_frequent_ones_are_learned():
+    rng = random.Random(3)
+    inner = ["".join(rng.choice("bdklmnrstv") + rng.choice("aiou") for _ in range(3)) for _ in range(300)]
+    positive = {f"grub{w}wit": 600 - k for k, w in enumerate(dict.fromkeys(inner))}
+    rare = ["zjeqxyph", "pfwychek", "hygwyxez", "jyxqweph"]
+    for k, w in enumerate(rare):  # between the words of the frequent kind, at places that no regular step meets
+        positive = dict([*list(positive.items())[: 201 + 7 * k], (w, 300), *list(positive.items())[201 + 7 * k :]])
+    negative = dict.fromkeys(("".join(rng.choice(["ba", "do", "ki", "mel", "ran", "tos", "vu", "sho"]) for _ in range(3)) for _ in range(400)), 5)
+    machine = toxicity._trained(positive, negative, lambda m: (*m.top(["grub ba", "mel do", "zjeqxyph"]), np.array([False, False, True])))
+    assert all(machine.score_units(rare) > 0.5) and all(machine.score_units(["zjeqqxyph", "hygwyxaez"]) > 0) and all(machine.score_units(list(negative)[:50]) < 0)
+
+
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_held_out_fold(spark, sf):
     rows = toxicity.query(spark, f"{DATA}/{sf}").join(spark.read.parquet(f"{DATA}/{sf}/labels.parquet"), "doc_id").where("held_out").collect()
