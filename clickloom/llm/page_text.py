@@ -1,12 +1,13 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element. Page parts that are never article text (navigation, headers,
-footers, sidebars, forms, adverts, notices, reader comments) leave blank lines where they stood. The length of text (links
-do not count) is summed over WIDTH consecutive lines; the sums surge where an article begins and dive to zero where it ends,
-and the lines between a surge point and the next dive point are kept, whatever their own length.
+footers, sidebars, forms, adverts, notices, reader comments) are skipped; those at an article's ends (navigation, headers,
+footers, comments) leave blank lines where they stood. The length of text (links do not count) is summed over WIDTH consecutive
+lines; the sums surge where an article begins and dive to zero where it ends, and the lines between the first surge point and
+the last dive point are kept, whatever their own length, except WIDTH or more lines of links alone.
 
-Where a page names its article (article or main), lines outside it are blank too. A null, empty or text-less page gives
-the empty text. A part that is never closed ends where its parent does. Repeated rows give equal texts.
+Where a page names its article (article or main), that decides: lines outside it are blank, and those inside are kept except
+lines of links alone with no text in the WIDTH - 1 lines on either side. A null, empty or text-less page gives the empty text. A part that is never closed ends where its parent does. Repeated rows give equal texts.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ _PART = re.compile(
     re.I,
 )
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Parts that end an article, or stand before it; the others may stand within.
+EDGES = {"nav", "header", "footer"}
+_EDGE = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|masthead|site-?header|page-?header|topbar|contentinfo|comments?)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
@@ -47,8 +51,13 @@ def _apart(tag: str, raw: str, in_article: bool) -> bool:
     return bool(_HIDDEN.search(raw)) or any(_PART.search(a or b or c) for a, b, c in _NAMES.findall(raw))
 
 
+def _edge(tag: str, raw: str) -> bool:
+    """Whether a part that is left out parts an article from the rest of the page."""
+    return tag in EDGES or any(_EDGE.search(a or b or c) for a, b, c in _NAMES.findall(raw or ""))
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, its characters outside links, whether inside an article) of each line; a part that is left out gives WIDTH blank lines."""
+    """(text, its characters outside links, whether inside an article) of each line; a part at an article's end gives WIDTH blank lines, another that is left out none."""
     out: list[tuple[str, int, bool]] = []
     open_tags: list[tuple[str, bool]] = []  # with whether the element is left out
     left_out = links = articles = 0
@@ -90,7 +99,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                         if open_tags[k][0] not in INLINE:
                             break
             own = _apart(value, raw, articles > 0)
-            if own and not left_out:
+            if own and not left_out and _edge(value, raw):
                 out += [("", 0, False)] * WIDTH
             left_out += own
             links += value == "a"
@@ -121,7 +130,7 @@ def main_text(page: str | None) -> str:
     if not sums or not (top := max(sums)):
         return ""
     surge = least or max(1, min(SURGE, SURGE_SHARE * top))
-    kept: list[str] = []
+    runs: list[tuple[int, int]] = []
     at = 0
     while at < len(sums):
         if not sums[at]:
@@ -131,10 +140,17 @@ def main_text(page: str | None) -> str:
         while dive < len(sums) and sums[dive]:
             dive += 1
         if max(sums[at:dive]) >= surge:
-            own = [k for k in range(at, min(dive + WIDTH - 1, len(found))) if found[k][0]]
-            counted = [k for k in own if found[k][1]]
-            kept += [found[k][0] for k in own if least or counted[0] <= k <= counted[-1]]
+            runs.append((at, min(dive + WIDTH - 1, len(found))))
         at = dive
+    if least:
+        return " ".join(found[k][0] for k in sorted({k for at, end in runs for k in range(at, end)}) if found[k][0])
+    own = [found[k] for k in range(runs[0][0], runs[-1][1]) if found[k][0]]
+    counted = [k for k, x in enumerate(own) if x[1]]
+    kept: list[str] = []
+    last = counted[0]
+    for k in counted:  # fewer than WIDTH lines of links between two others stay
+        kept += [x[0] for x in own[last + 1 : k] if k - last <= WIDTH] + [own[k][0]]
+        last = k
     return " ".join(kept)
 
 

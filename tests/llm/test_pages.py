@@ -33,6 +33,19 @@ def test_without_article_element():
     assert main_text(page) == f"{text} Short one. {text}"
 
 
+def test_parts_within_a_page_without_article_element():
+    text = "Words of an article that runs over many characters, so that its lines surge above menus and notes."
+    page = f"""<body><div>My site</div><nav><a href=1>Home</a></nav><p>{text}</p><div class="advert">Buy</div><p>Short one.</p><aside>Aside</aside><h2><a href=2>A linked heading</a></h2>
+    <form><p>Mail</p></form><p>{text}</p><div class=related><p>See</p></div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><p>{text}</p><div class="cookie-notice">Ok</div><p>The end.</p><div class=comments>First!</div><div>Made by us</div></body>"""
+    assert main_text(page) == f"{text} Short one. A linked heading {text} {text} The end."
+    parted = f"<p>{text}</p><nav>x</nav><p>Short one.</p><div id=footer>x</div><p>{text}</p>"
+    assert main_text(parted) == f"{text} Short one. {text}"
+
+
+def test_linked_lines_in_an_article_once():
+    assert main_text("<article><p>text</p><p><a>1</a></p><p><a>2</a></p><p><a>3</a></p><p>more</p></article>") == "text 1 2 3 more"
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", "   ", "<p>", "<!-- x", "<script>x", "a < b")] == ["", "", "", "", "", "", "a < b"]
     assert main_text("<article><p>x</article>") == "x" and main_text("<article>" + "<b>" * 5000 + "deep" + "</b>" * 5000 + "</article>") == "deep"
