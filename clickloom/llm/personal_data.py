@@ -35,6 +35,8 @@ _NEEDS = {"email": ("@",), "ip": (".",), "card": (), "phone": ("+",)}
 
 #: Rounds of scoring, documents a pattern needs seeds from, and the confidences at which a pattern and a word are taken.
 ROUNDS, SUPPORT, PATTERN_CONFIDENCE, WORD_CONFIDENCE = 3, 3, 0.8, 0.75
+#: Share of the documents with seeds in a pattern, summed over kinds, that its commonest kind needs.
+KIND_SHARE = 0.8
 #: Identifier-like words: at least so many characters with a digit among them, not more than this.
 _WORD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{6,120}(?:[\x20\x09-\x0D]|$))(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]++"
 
@@ -136,15 +138,16 @@ def occurrences(spans: DataFrame) -> DataFrame:
 
 
 def trusted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns of high confidence and the kind of their seeds: scores go from words to patterns and back."""
+    """Patterns of high confidence and the commonest kind of their seeds: scores go from words to patterns and back."""
     edges = written(
-        found.select(F.explode("contexts").alias("pattern"), "value", "known", "kind", "doc_id")
+        found.select(F.explode("contexts").alias("pattern"), "value", "known")
         .groupBy("pattern", "value")
-        .agg(F.max("known").alias("known"), F.min("kind").alias("kind"), F.approx_count_distinct("doc_id").alias("docs")),
+        .agg(F.max("known").alias("known")),
         8,
     )
-    seeded = edges.where("known").groupBy("pattern").agg(F.sum(F.least("docs", F.lit(1))).alias("seeds"), F.count_distinct("kind").alias("kinds"), F.min("kind").alias("seed_kind"))
-    good = written(seeded.where((F.col("seeds") >= SUPPORT) & (F.col("kinds") == 1)).select("pattern", "seed_kind"), 8)
+    kinds = found.where("known").select(F.explode("contexts").alias("pattern"), "kind", "doc_id").groupBy("pattern", "kind").agg(F.count_distinct("doc_id").alias("docs"))
+    seeded = kinds.groupBy("pattern").agg(F.max("docs").alias("seeds"), F.sum("docs").alias("every"), F.max_by("kind", F.struct("docs", "kind")).alias("seed_kind"))
+    good = written(seeded.where((F.col("seeds") >= SUPPORT) & (F.col("seeds") >= KIND_SHARE * F.col("every"))).select("pattern", "seed_kind"), 8)
     own = written(joined(edges, good, "pattern", "inner", 80), 8)
     scores = own.select("pattern", "value", F.col("known").cast("double").alias("score"))
     confidence = None

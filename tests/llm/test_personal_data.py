@@ -59,6 +59,15 @@ def test_contexts_lead_to_unseen_identifiers(spark):
     assert clean[9].text == "And so: Reach us: <email> today and more" and clean[10].text == texts[10] and clean[11].text is None
 
 
+def test_kinds_and_documents_of_a_pattern(spark):
+    texts = [f"Text {chr(97 + i)} Reach us: u{i}@mail{i}.example.org today" for i in range(19)] + ["Text t Reach us: +1 988 555 2485 today", "Now: Reach us: user7#mail.example today"]
+    texts += [f"Text {chr(97 + i)} Call desk: u{i}@post{i}.example.org soon" for i in range(5)] + [f"Text {chr(97 + i)} Call desk: +1 988 555 248{i} soon" for i in range(4)] + ["Now: Call desk: user8#mail.example soon"]
+    texts += [" ".join(f"Write to: u{i}@land{i}.example.org then" for i in range(4)), "Now: Write to: user9#mail.example then"]
+    more = {r.doc_id: [(x.kind, x.value) for x in r.more] for r in personal_data.personal_data(helpers.frame(spark, texts)).collect()}
+    assert more.pop(20) == [("email", "user7#mail.example")]  # one phone among many emails
+    assert not any(more.values())  # kinds in like shares; seeds of one document
+
+
 def test_query(spark):
     got = {r.doc_id: r for r in personal_data.query(spark, f"{DATA}/sf0.001").collect()}
     for doc_id, text in duckdb.sql(f"select doc_id, text from '{DATA}/sf0.001/documents.parquet'").fetchall():
