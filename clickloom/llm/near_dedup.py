@@ -197,14 +197,15 @@ def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined(nodes, found.withColumnRenamed("node", "class_id"), "class_id", "left", 24).withColumn("component", F.coalesce("component", "class_id"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (whether it is that document)."""
+def near_duplicates(docs: DataFrame, sets: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (whether it is that document); with sets also the hash of its set, set_a and set_b."""
+    extra = ["set_a", "set_b"] if sets else []
     signed_docs = written(signatures(docs))
     small = signed_docs.select("doc_id", "n_shingles", "set_a", "set_b")
     classes = written(small.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id")), _FEW)
-    alone = small.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"))
-    members = written(joined(small.where("n_shingles > 0"), classes, ["set_a", "set_b"], "left", 40).select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")).unionByName(alone))
-    heads = written(signed_docs.where("n_shingles > 0").join(members.where("doc_id = class_id and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "class_id"))
+    alone = small.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), *extra)
+    members = written(joined(small.where("n_shingles > 0"), classes, ["set_a", "set_b"], "left", 40).select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), *extra).unionByName(alone))
+    heads = written(signed_docs.where("n_shingles > 0").join(members.where("doc_id = class_id and n_shingles > 0").select("doc_id", *extra).distinct(), ["doc_id", *extra], "left_semi").withColumnRenamed("doc_id", "class_id"))
     lanes = heads.select("class_id", "n_shingles", *_SIGNATURE, *_PARITY)
     buckets = heads.select("class_id", F.explode("bands").alias("band"))
     crowded = written(buckets.groupBy("band").agg(F.min("class_id").alias("a"), F.max("class_id").alias("last")).where("a < last").select("band", "a"), _FEW)
@@ -238,7 +239,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not rest.isEmpty():
             links = written(links.unionByName(confirmed(docs, rest)))
             labels = written(_labels(nodes, links), _FEW)
-    out = joined(members, labels, "class_id", "left", 24).select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
+    out = joined(members, labels, "class_id", "left", 24).select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), *extra)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -250,9 +251,25 @@ def _likely(pairs: DataFrame, lanes: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    kept = written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")))
-    return joined(docs, kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi", 16)
+    """The documents that are kept, with their own columns: of rows with one doc_id and one set a single one, and of rows without doc_id one for each set that no doc_id has. Rows without words all stay. Sets of one doc_id that is the smallest of several sets count as linked."""
+    found = written(near_duplicates(docs, sets=True))
+    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("repeated_id")), _FEW)
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
+    own_id = docs["doc_id"].cast("long")
+    if repeated.isEmpty():
+        kept = written(kept)
+        return joined(docs, kept, own_id == kept["kept_id"], "left_semi", 16)
+    kept = written(joined(kept, repeated, F.col("kept_id") == F.col("repeated_id"), "left_anti", 16))
+    once = joined(docs, kept, own_id == kept["kept_id"], "left_semi", 16)
+    # only rows of these ids are hashed again, each under a number of its own
+    rows = written(joined(docs, repeated, own_id.eqNullSafe(repeated["repeated_id"]), "left_semi", 16).withColumn("_row__number", F.monotonically_increasing_id()))
+    hashed = signatures(rows.select(F.col("_row__number").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "n_shingles", "set_a", "set_b")
+    marked = written(hashed.join(rows.select(F.col("_row__number").alias("row"), F.col("doc_id").cast("long").alias("id")), "row"))
+    first = marked.where("n_shingles > 0").groupBy("id", "set_a", "set_b").agg(F.min("row").alias("row")).alias("x")
+    right = written(joined(found.where("kept and n_shingles > 0"), repeated, F.col("doc_id").eqNullSafe(F.col("repeated_id")), "left_semi", 16).select("doc_id", "set_a", "set_b").distinct()).alias("y")
+    same = F.col("x.id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.set_a") == F.col("y.set_a")) & (F.col("x.set_b") == F.col("y.set_b"))
+    stay = written(first.join(right, same, "left_semi").select("row").unionByName(marked.where("n_shingles = 0").select("row")).withColumnRenamed("row", "stay"))
+    return once.unionByName(joined(rows, stay, rows["_row__number"] == stay["stay"], "left_semi", 16).drop("_row__number"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

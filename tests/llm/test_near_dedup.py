@@ -84,3 +84,12 @@ def test_estimate_and_empty_table(spark):
     assert near_dedup.near_duplicates(helpers.frame(spark, [])).count() == 0
     docs = helpers.frame(spark, ["a b c", "a b c", "q"])
     assert sorted(r.doc_id for r in near_dedup.deduplicated(docs).collect()) == [0, 2]
+
+
+def test_repeated_and_null_ids_keep_one_of_each_set(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "A b c"), (2, "d e f"), (2, "d e f"), (3, "d e f"), (4, "g h"), (None, "a b c"), (None, "x y z"), (None, "x y Z"), (None, "x y z q"), (None, ""), (None, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, f"s{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    out = near_dedup.deduplicated(docs)
+    got = sorted((repr(r.doc_id), helpers.fold(r.text)) for r in out.collect())
+    assert out.columns == docs.columns
+    assert got == sorted([("1", "a b c"), ("2", "d e f"), ("4", "g h"), ("None", "x y z"), ("None", "x y z q"), ("None", ""), ("None", ""), ("5", "")])
