@@ -9,7 +9,8 @@ beside the shards, named by its hash. It is trained on serialized id arrays of a
 Shards follow ascending doc_id: documents are range-partitioned once and each range is cut into files of bounded size. A
 shard is written under a name of its own attempt and renamed when whole; only shards that a finished task reported are read,
 so repeated or lost tasks do no harm. Null and empty texts hold the end id alone. A null doc_id sorts first; repeated rows
-are separate documents in text order.
+are separate documents in text order. Very long texts are encoded whole and are one frame; other columns are not read; an empty
+table gives no shard.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ MAGIC = b"LOOMZID1"
 END_ID = 2
 #: Stands for a null doc_id in an index.
 NULL_ID = -(1 << 63)
-#: The dictionary is trained on at most so many documents, and on at most so many ids of each.
-SAMPLE_DOCS, SAMPLE_IDS = 2_000, 2_000
+#: The dictionary is trained on at most so many documents, and on at most so many ids of each, in runs of RUN_IDS spread evenly over the whole document.
+SAMPLE_DOCS, SAMPLE_IDS, RUN_IDS = 2_000, 2_000, 250
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 1
 #: A shard is closed when it has this many bytes.
@@ -70,6 +71,8 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        #: Matched in a text before case is folded.
+        self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.end = struct.pack("<I", END_ID)
         self.runs: dict[str, bytes] = {"": b""}
 
@@ -129,14 +132,19 @@ def encoder_for(path: str) -> Encoder:
 _SEPARATORS = tuple("\x1c\x1d\x1e\x1f")
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words between white space, all of which the tokenizer drops; Python's split also drops four control characters that the tokenizer keeps."""
+def words_of(text: str | None, added: tuple[str, ...] = ()) -> list[str]:
+    """Words between white space, all of which the tokenizer drops; Python's split also drops four control characters that the tokenizer keeps.
+
+    added: the tokenizer's added tokens, which it matches before it folds case: a text keeps its case if folding it shows one.
+    """
     if not text:
         return []
     if any(c in text for c in _SEPARATORS):
         return [x for x in re.split("[ \t\n\r]+", text) if x]
     if text.isascii() or _latin(text):
-        text = text.lower()  # as the tokenizer does; capital and small spellings are looked up once
+        low = text.lower()  # as the tokenizer does; capital and small spellings are looked up once
+        if not any(x in low for x in added):
+            text = low
     return text.split()
 
 
@@ -156,6 +164,16 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def _spread(ids: bytes) -> bytes:
+    """At most SAMPLE_IDS of a document's serialized ids: all, or runs from its whole length."""
+    n = len(ids) // 4
+    if n <= SAMPLE_IDS:
+        return ids
+    runs = SAMPLE_IDS // RUN_IDS
+    starts = [k * (n - RUN_IDS) // (runs - 1) for k in range(runs)]
+    return b"".join(ids[4 * at : 4 * (at + RUN_IDS)] for at in starts)
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A dictionary from the documents with the smallest hashes of their ids; empty where there is too little to train on."""
     import zstandard
@@ -167,8 +185,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     def ids(batches):
         encoder = encoder_for(tokenizer)
         for batch in batches:
-            words = [words_of(x)[:SAMPLE_IDS] for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[: 4 * SAMPLE_IDS] for x in encoder.encode(words)], pa.binary())], names=["ids"])
+            words = [words_of(x, encoder.added) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_spread(x) for x in encoder.encode(words)], pa.binary())], names=["ids"])
 
     arrays = [bytes(r.ids) for r in in_arrow(sample.select("text"), ids, "ids binary", "tokenizer").collect()]
     try:
@@ -227,7 +245,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, par
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for first in range(0, len(ids), 256):
-                words = [words_of(x) for x in texts.slice(first, 256).to_pylist()]
+                words = [words_of(x, encoder.added) for x in texts.slice(first, 256).to_pylist()]
                 for doc_id, own in zip(ids[first : first + 256], encoder.encode(words), strict=True):
                     if writer is None:
                         writer = _Writer(folder, shared.value)
@@ -289,8 +307,12 @@ def _frames(path: str, folder: str) -> Iterator[tuple[int, int, bytes]]:
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     """Every document of the listed shards, read back: its place among all ids, its number of ids and their checksum. The list has a row per file."""
-    order = Window.orderBy("shard_key", "part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = shards.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
+    order = Window.partitionBy("shard_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range partition goes through the window without a key; the shards of a range have a window of their own
+    ranges = shards.groupBy("shard_key").agg(F.sum("n_ids").alias("own"))
+    before = F.coalesce(F.sum("own").over(Window.orderBy("shard_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("shard_key", before.alias("range_base"))
+    placed = shards.join(starts, "shard_key").withColumn("base", F.col("range_base") + F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
 
     def read(batches):
         for batch in batches:
