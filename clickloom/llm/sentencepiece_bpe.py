@@ -2,15 +2,18 @@
 
 A chunk's symbols start as single characters; an agenda ordered by piece score (ties: leftmost) holds the
 adjacent pairs whose join is a piece, and the best pair is merged until none is left. Pieces never hold a
-word mark after another character, so a text splits before each run of spaces into chunks that merge
-independently; each distinct chunk goes through the agenda once and is kept in a bounded table. Each is
-checked against the sentencepiece library in the Arrow batch where it first comes up, both ways; where the two
-differ the library's answer is used and counted in `n_library`. A chunk of letters and closing marks that no piece
-holds after a letter is not checked as a whole: its letters are checked so, its marks after one letter by ids alone
-(a difference there is an error), and the ids of both are put together. That is exact as no merge can cross the two,
-but `n_library` cannot count a difference in such a chunk.
-
-Null and empty texts have no ids and decode to the empty text. Repeated rows get equal results.
+word mark after another character, so a text splits before each run of word marks (spaces, or the mark itself,
+which the library does not tell apart) into chunks that merge independently; each distinct chunk goes through
+the agenda once and is kept in a bounded table. Short chunks keep the agenda as a flat list, long ones as a heap.
+
+Checks against the sentencepiece library, in the Arrow batch where something first comes up: each distinct chunk both
+ways, but chunks of letters and closing marks that no piece holds after a letter in two parts (the letters both ways, the marks
+after one letter by ids), as no merge can cross the two; and of each run of texts that learn together the first text and every text
+that holds the mark or a control character as a whole, both ways. Where a chunk or a whole text differs the library's answer
+is used and counted in `n_library`.
+
+Null and empty texts have no ids and decode to the empty text. Very long texts are encoded whole, by their chunks. Repeated
+rows get equal results; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ TABLE_CHUNKS = 400_000
 SHORT = 40
 _NONE = float("inf")
 _CHUNKS = re.compile(" +[^ ]*")
+#: Texts that are checked as a whole whatever their place.
+_ODD = re.compile(f"[{MARK}\x00-\x08\x0b-\x1f\x7f-\x9f\u2000-\u200f\u2028-\u202f]")
 
 
 def default_model() -> str:
@@ -172,9 +177,11 @@ class Table:
         self.corrected: set[str] = set()
 
     def chunks(self, text: str) -> list[str]:
-        """The text's chunks, each without its first space."""
+        """The text's chunks, each without its first space; the mark itself is a space."""
         if not text:
             return []
+        if MARK in text:
+            text = text.replace(MARK, " ")
         if not self.codec.splits:
             return [text]
         if "  " in text or text[0] == " " or text[-1] == " ":
@@ -214,10 +221,6 @@ class Table:
 
     def learn(self, new: set[str]) -> None:
         """Encode, decode and check chunks that the table lacks."""
-        if len(self.ids) > TABLE_CHUNKS:
-            self.ids = {}
-        if len(self.runs) > TABLE_CHUNKS:
-            self.runs, self.marks = {}, {"": ""}
         plain, other, match = [], [], self.plain.fullmatch
         for chunk in new:
             if (m := match(chunk)) is not None:
@@ -239,6 +242,15 @@ class Table:
                 if letters in self.corrected:
                     self.corrected.add(chunk)
 
+    def differing(self, texts: list[str], chunks: list[list[str]], ids: list[str]) -> dict[int, tuple[str, str]]:
+        """The library's ids and text for those whole texts, of the ones that are checked so, where they differ."""
+        picked = [k for k, t in enumerate(texts) if t and (k == 0 or _ODD.search(t))]
+        if not picked:
+            return {}
+        theirs = self.codec.library.encode([texts[k] for k in picked], num_threads=1)
+        back = self.codec.library.decode(theirs, num_threads=1)
+        joint = [",".join(map(str, x)) for x in theirs]
+        return {k: (x, t) for k, x, t in zip(picked, joint, back, strict=True) if x != ids[k] or t != self.text(chunks[k])}
 
     def encode(self, texts: list[list[str]]) -> list[str]:
         """Decimal ids of each text's chunks; what the table lacks is learned together."""
@@ -246,6 +258,9 @@ class Table:
             return self._encoded(texts)
 
     def _encoded(self, texts: list[list[str]]) -> list[str]:
+        # emptied here, before these texts look anything up, so that what they find has all that belongs to it
+        if max(len(self.ids), len(self.runs)) > TABLE_CHUNKS:
+            self.ids, self.runs, self.marks, self.odd, self.corrected = {}, {}, {"": ""}, {}, set()
         found = [list(map(self.ids.get, chunks)) for chunks in texts]
         holes = [list(gaps(own)) for own in found]
         if new := {chunks[k] for chunks, own in zip(texts, holes, strict=True) for k in own}:
@@ -278,12 +293,14 @@ def encoded(docs: DataFrame, model: str | None = None, texts: bool = False) -> D
                     size += len(found[-1])
                     at += 1
                 out: dict[str, list] = {"n": [], "i": [], "d": [], "l": [], "ids": [], "text": []}
-                for chunks, ids in zip(found, table.encode(found), strict=True):
-                    text = table.text(chunks)
+                encoded_texts = table.encode(found)
+                differing = table.differing([x or "" for x in all_texts[first:at]], found, encoded_texts)
+                for k, (chunks, ids) in enumerate(zip(found, encoded_texts, strict=True)):
+                    ids, text = differing[k] if k in differing else (ids, table.text(chunks))
                     out["n"].append(ids.count(",") + 1 if ids else 0)
                     out["i"].append(hashlib.sha256(ids.encode()).hexdigest())
                     out["d"].append(hashlib.sha256(text.encode()).hexdigest())
-                    out["l"].append(sum(map(table.corrected.__contains__, chunks)) if table.corrected else 0)
+                    out["l"].append((k in differing) + (sum(map(table.corrected.__contains__, chunks)) if table.corrected else 0))
                     if texts:
                         out["ids"].append([int(x) for x in ids.split(",")] if ids else [])
                         out["text"].append(text)
