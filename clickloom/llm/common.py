@@ -1,7 +1,9 @@
 """What the text operators share: word hashing over Arrow buffers, rolling n-gram hashes, shared folders.
 
-Words are found and hashed over whole byte buffers with numpy, so no Python object is made per word.
-All hashes are 64-bit polynomials modulo 2**64 with an odd base, finished with a bit mixer.
+Words are found and hashed over whole byte buffers with numpy, so no Python object is made per word. A word's hash is
+chained over its bytes, eight at a time, and a sequence's hash over the hashes of its halves, each step through a bit mixer
+that is no linear map: there is no family of words or sequences that collides whatever the constants, as there is for
+polynomials modulo 2**64. Still, hashes only route and look up here; operators confirm equality on bytes or words.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import hashlib
 import shutil
 import sys
 import tempfile
@@ -19,24 +22,26 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text hashed at once; a longer document is a slice of its own.
 SLICE_BYTES = 512 << 10
 
-_MASK = (1 << 64) - 1
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD1342543DE82EF95
+#: Fixed keys of the word and sequence hashes.
+_WORD_KEY, _LANE_KEY, _LEFT_KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 64
 
 
 def _separator_table(separators: set[int], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     word = np.ones(256, dtype=bool)
     word[sorted(separators)] = False
-    value = np.arange(256, dtype=np.uint64)
+    value = np.arange(256, dtype=np.uint8)
     if lower:
         value[65:91] += 32
-    return word, value + np.uint64(1)
+    return word, value
 
 
 SPACES = {0x20, *range(0x09, 0x0E)}
@@ -48,24 +53,6 @@ FOLDED = _separator_table(SPACES, lower=True)
 ALNUM = _separator_table({*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)}, lower=True)
 
 
-class _Powers:
-    """Powers of a base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = np.ones(1, dtype=np.uint64)
-        self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b & _MASK, np.uint64)])) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finisher."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -73,6 +60,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of data[begin:end] for each word, eight bytes at a time."""
+    size = (end - begin).astype(np.uint64)
+    out = mix(size * _WORD_KEY + _LANE_KEY)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    at, left = np.flatnonzero(size <= _LONG_WORD), None
+    for first in range(0, _LONG_WORD, 8):
+        at = at[size[at] > first]
+        if not len(at):
+            break
+        lane = np.ascontiguousarray(lanes[begin[at] + first]).view("<u8").ravel()
+        left = np.minimum(size[at] - np.uint64(first), np.uint64(8))
+        lane &= ~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left)
+        out[at] = mix(out[at] ^ (lane * _LANE_KEY))
+    if len(long := np.flatnonzero(size > _LONG_WORD)):
+        raw = data.tobytes()
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[begin[k] : end[k]], digest_size=8).digest(), "little") for k in long]
+    return out
+
+
 class Words:
     """Words of consecutive documents: hashes, byte spans in the slice, and each document's range of words."""
 
@@ -86,12 +94,20 @@ class Words:
         last = inside.copy()
         last[:-1] &= ~inside[1:] | edge[1:-1]
         self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _BYTES.upto(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(value[data] * up[:-1], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.begin]) * down[self.begin] + (self.end - self.begin).astype(np.uint64))
+        #: The bytes as they count, with case folded where the kind says so.
+        self.data = value[data]
+        self.hash = _word_hashes(self.data, self.begin, self.end)
         self.bounds = np.searchsorted(self.begin, offsets)
 
+    def normal(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words joined by one space each, and where each begins and ends there."""
+        size = self.end - self.begin
+        begin = np.cumsum(size + 1) - size - 1
+        raw = np.full(int(size.sum()) + len(size), 32, np.uint8)
+        at = np.repeat(self.begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        raw[at + np.repeat(begin - self.begin, size)] = self.data[at]
+        return raw.tobytes(), begin, begin + size
+
     def __len__(self) -> int:
         return len(self.hash)
 
@@ -105,21 +121,18 @@ class Words:
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each position on, for the positions that have n; documents are not told apart."""
+    """Hash of the n words from each position on, for the positions that have n, joined from runs of doubling lengths; documents are not told apart."""
     if len(words) < n:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _WORDS.upto(len(words) + 1)
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up[:-1], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
-
-
-def spans_hash(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of words[begin:end] for each pair; equal sequences have equal hashes wherever they stand."""
-    up, down = _WORDS.upto(len(words) + 1)
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    out, have, run, length = None, 0, words, 1
+    while True:
+        if n & length:
+            out = run if out is None else mix(out[: len(words) - have - length + 1] * _LEFT_KEY + run[have:])
+            have += length
+        if have == n:
+            return out if n > 1 else mix(out)
+        run = mix(run[:-length] * _LEFT_KEY + run[length:])
+        length *= 2
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -247,10 +260,12 @@ def in_arrow(df: DataFrame, function, schema, holds: str = "") -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir; a temporary folder where that is unset (local tests only)."""
+    """A new folder's path under spark.checkpoint.dir; a temporary folder where that is unset and Spark runs in one local process, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -283,9 +298,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: The most that is broadcast; a larger side is joined by a shuffle.
 BROADCAST_BYTES = 24 << 20
+#: Bytes that a fixed-width value, or the head of a text or list, takes at most in a hashed relation.
+_VALUE_BYTES = 16
+
+
+def _bytes_of(kind: T.DataType, value: Column) -> Column:
+    """Size of a value in memory, the lengths of texts and lists included."""
+    if isinstance(kind, T.StringType):
+        return F.lit(_VALUE_BYTES) + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes_of(f.dataType, value[f.name]) for f in kind.fields), F.lit(_VALUE_BYTES))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.StructType, T.ArrayType)):
+            return F.lit(_VALUE_BYTES) + F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + _bytes_of(kind.elementType, x)), F.lit(0))
+        return F.lit(_VALUE_BYTES) + _VALUE_BYTES * F.greatest(F.size(value), F.lit(0))
+    return F.lit(_VALUE_BYTES)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """What a written table takes in memory, summed over its rows."""
+    row = sum((_bytes_of(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(_VALUE_BYTES))
+    return df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0]
 
 
-def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int) -> DataFrame:
-    """left joined with a written table: broadcast if its counted rows of about row_bytes fit the bound, else by a shuffle that Spark may split."""
-    small = right.count() * row_bytes <= BROADCAST_BYTES
+def joined(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
+    """left joined with a written table: broadcast if its summed bytes fit the bound, else by a shuffle that Spark may split."""
+    small = table_bytes(right) <= BROADCAST_BYTES
     return left.join(F.broadcast(right) if small else right, on, how)

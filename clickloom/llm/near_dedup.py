@@ -2,19 +2,22 @@
 
 Each document's set of word shingles gives HASHES minima. Bands of full minima make candidates; of each minimum only the low
 BITS bits are kept, packed into longs, and the share of equal lanes, corrected for chance collisions, estimates similarity by
-bit counts inside the JVM. Estimates only discard pairs far below the threshold; every link is confirmed on full sets. A bitmap of
+bit counts inside the JVM. Estimates only discard pairs far below the threshold; every link is confirmed on full sets of the words
+themselves, not of hashes. A bitmap of
 the parity of shingles in each of PARITY bins goes along: bits in which two bitmaps differ are at most the shingles that only
 one set has, so a pair with too many such bits is surely no link, and families of copies that fall just short of each other need
 no confirmation pair by pair.
 
 Documents with the same set are one class first. Then (1) every bucket links its members to its smallest class: as many pairs
 as bucket rows; confirmed ones are joined into components. (2) Buckets that still hold several components are searched for
-pairs across components whose estimate reaches the floor; a pair is confirmed unless its ends have met meanwhile. Components
-come out exact, though pairs inside a component are never expanded. A link at the threshold shares no band with a probability
+pairs across components whose sizes allow a link and whose estimate reaches the floor; a pair is confirmed unless its ends have met
+meanwhile. A bucket of many classes is searched by many tasks, BLOCK of its classes against all in each; only pairs that may be links
+leave the join. Components come out exact, though pairs inside a component are never expanded. A link at the threshold shares no band with a probability
 of (1 - 0.75**3)**42 = 1e-10, and falls below the floor of the estimate with one of about 1e-8.
 
 Documents without words (null, empty, white space) are linked with nothing; a null doc_id is a document of its own class
-if no other has its set. Repeated rows share a class.
+if no other has its set. Repeated rows share a class. Ties: of equal sets the smallest doc_id stands for all. Very long texts are
+hashed and compared whole. An empty table gives no rows; `near_duplicates` reads no other columns, `deduplicated` carries them along.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import FOLDED, dropped, grams, in_arrow, joined, mix, signed, spans_hash, word_slices, written
+from clickloom.llm.common import FOLDED, dropped, grams, in_arrow, joined, mix, signed, word_slices, written
 
 SHINGLE = 5
 #: A link has 100 * intersection >= PERCENT * union.
 PERCENT = 75
 HASHES, ROWS, BITS = 128, 3, 4
 BANDS = HASHES // ROWS
-#: Equal lanes (of HASHES) below which a pair is not confirmed: six deviations below what the threshold leads to expect.
-FLOOR = 68
+#: A pair is not confirmed if its estimated similarity is more than six deviations below the threshold (see estimated_similarity).
+DEVIATIONS = 6
+#: Classes of a bucket that one task compares with all of the bucket.
+BLOCK = 4096
 #: Members compared with one copy of a leader's text.
 STAR = 64
 #: Shuffle partitions in a file of a small table.
@@ -53,11 +58,10 @@ def shingle_sets(column: pa.Array):
     for a, b, _, words in word_slices(column, FOLDED):
         whole = grams(words.hash, SHINGLE)
         first, last = words.bounds[:-1], words.bounds[1:]
-        short = (last - first < SHINGLE) & (last > first)
-        alone = spans_hash(words.hash, first, last)
+        alone = [mix(grams(words.hash, n) ^ np.uint64(n)) for n in range(1, SHINGLE)]
         for k in range(b - a):
-            if short[k]:
-                yield alone[k : k + 1]
+            if 0 < (n := last[k] - first[k]) < SHINGLE:
+                yield alone[n - 1][first[k] : first[k] + 1]
             elif last[k] == first[k]:
                 yield whole[:0]
             else:
@@ -127,19 +131,35 @@ def equal_lanes(left: str, right: str):
     return F.lit(HASHES) - differ
 
 
+def estimated_similarity(lanes):
+    """Similarity from equal lanes, without the lanes that are equal by chance."""
+    chance = 1 / (1 << BITS)
+    return (lanes / HASHES - chance) / (1 - chance)
+
+
+def least_estimate() -> float:
+    """DEVIATIONS below the threshold: a lane of a pair at the threshold is equal with probability s + (1 - s) * chance."""
+    chance = 1 / (1 << BITS)
+    equal = PERCENT / 100 + (1 - PERCENT / 100) * chance
+    return PERCENT / 100 - DEVIATIONS * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - chance)
+
+
 def may_link(left: str, right: str):
-    """False for pairs that are no link: the estimate is far too low, or the parity bitmaps differ in too many bits."""
+    """False for pairs that are no link: their sizes or the estimate are too far off, or the parity bitmaps differ in too many bits."""
     bits = F.lit(0)
     for p in _PARITY:
         bits = bits + F.bit_count(F.col(f"{left}.{p}").bitwiseXOR(F.col(f"{right}.{p}")))
-    sizes = F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles")
-    return (equal_lanes(left, right) >= FLOOR) & ((100 + PERCENT) * bits <= (100 - PERCENT) * sizes)
+    a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
+    sizes = (100 * a >= PERCENT * b) & (100 * b >= PERCENT * a)
+    return sizes & (estimated_similarity(equal_lanes(left, right)) >= least_estimate()) & ((100 + PERCENT) * bits <= (100 - PERCENT) * (a + b))
 
 
-def estimated_similarity(lanes):
-    """Similarity from equal lanes, without the lanes that are equal by chance."""
-    chance = 1 / (1 << BITS)
-    return (lanes / HASHES - chance) / (1 - chance)
+def word_shingles(text: str | None) -> set[tuple[bytes, ...]]:
+    """The set of a text's shingles, as words."""
+    words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space alone
+    if len(words) < SHINGLE:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[k:] for k in range(SHINGLE)), strict=False))
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -147,19 +167,19 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("stars"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("stars")).alias("star"))
     wanted = written(salted.select("a", "star", F.lit(1).alias("role"), F.col("b").alias("doc_id")).unionByName(salted.select("a", "star", F.lit(0).alias("role"), F.col("a").alias("doc_id")).distinct()))
-    texts = joined(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted, "doc_id", "inner", 48)
+    texts = joined(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted, "doc_id", "inner")
 
     def run(batches):
-        leader, own = None, np.zeros(0, np.uint64)
+        leader, own = None, set()
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             roles, ids = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             a, b = [], []
-            for k, x in enumerate(shingle_sets(batch.column(4))):
+            for k, x in enumerate(map(word_shingles, batch.column(4).to_pylist())):
                 if roles[k] == 0:
                     leader, own = keys[k], x
                 elif leader == keys[k]:
-                    both = np.intersect1d(own, x, assume_unique=True).size
+                    both = len(own & x)
                     if 100 * both >= PERCENT * (len(own) + len(x) - both):
                         a.append(keys[k][0])
                         b.append(ids[k])
@@ -171,30 +191,32 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node that has an edge (a, b); component is its smallest node. Alternating large and small stars, each round a written table."""
-    spark = edges.sparkSession
+    """(node, component) of every node that has an edge (a, b); component is its smallest node.
+
+    Alternating large and small stars, each round a written table; rounds grow with the logarithm of the longest chain. It ends when every node
+    has one edge and none leads to a node that has an edge itself: each component is a star around its smallest node then.
+    """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), _FEW)
-    mark = None
     while True:
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        sums = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not sums.agg(F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first()[0]:
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         after = written(small, _FEW)
-        seen = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
-        dropped(spark, now)
+        dropped(edges.sparkSession, now)
         now = after
-        if seen == mark:
-            break
-        mark = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (class_id, ...) with their component so far."""
     found = written(components(edges), _FEW)
-    return joined(nodes, found.withColumnRenamed("node", "class_id"), "class_id", "left", 24).withColumn("component", F.coalesce("component", "class_id"))
+    return joined(nodes, found.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
 
 
 def near_duplicates(docs: DataFrame, sets: bool = False) -> DataFrame:
@@ -204,12 +226,12 @@ def near_duplicates(docs: DataFrame, sets: bool = False) -> DataFrame:
     small = signed_docs.select("doc_id", "n_shingles", "set_a", "set_b")
     classes = written(small.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id")), _FEW)
     alone = small.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), *extra)
-    members = written(joined(small.where("n_shingles > 0"), classes, ["set_a", "set_b"], "left", 40).select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), *extra).unionByName(alone))
+    members = written(joined(small.where("n_shingles > 0"), classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), *extra).unionByName(alone))
     heads = written(signed_docs.where("n_shingles > 0").join(members.where("doc_id = class_id and n_shingles > 0").select("doc_id", *extra).distinct(), ["doc_id", *extra], "left_semi").withColumnRenamed("doc_id", "class_id"))
     lanes = heads.select("class_id", "n_shingles", *_SIGNATURE, *_PARITY)
     buckets = heads.select("class_id", F.explode("bands").alias("band"))
     crowded = written(buckets.groupBy("band").agg(F.min("class_id").alias("a"), F.max("class_id").alias("last")).where("a < last").select("band", "a"), _FEW)
-    rows = written(joined(buckets, crowded, "band", "inner", 24))
+    rows = written(joined(buckets, crowded, "band", "inner"))
 
     stars = rows.where("a != class_id").select("a", F.col("class_id").alias("b")).distinct()
     first = written(_likely(stars, lanes))
@@ -217,13 +239,13 @@ def near_duplicates(docs: DataFrame, sets: bool = False) -> DataFrame:
     nodes = rows.select("class_id").distinct()
     labels = written(_labels(nodes, links), _FEW)
 
-    placed = joined(rows.select("band", "class_id"), labels, "class_id", "inner", 24)
+    placed = joined(rows.select("band", "class_id"), labels, "class_id", "inner")
     mixed = placed.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("band")
-    open_rows = written(joined(placed, written(mixed, _FEW), "band", "left_semi", 16))
-    open_rows = written(joined(open_rows, lanes, "class_id", "inner", 400))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    open_rows = written(joined(placed, written(mixed, _FEW), "band", "left_semi"))
+    open_rows = written(joined(open_rows, lanes, "class_id", "inner"))
+    x, y = (side.alias(name) for side, name in zip(_blocked(open_rows), "xy", strict=True))
     across = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
+        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
         .select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"), equal_lanes("x", "y").alias("lanes"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
@@ -239,10 +261,21 @@ def near_duplicates(docs: DataFrame, sets: bool = False) -> DataFrame:
         if not rest.isEmpty():
             links = written(links.unionByName(confirmed(docs, rest)))
             labels = written(_labels(nodes, links), _FEW)
-    out = joined(members, labels, "class_id", "left", 24).select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), *extra)
+    out = joined(members, labels, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), *extra)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _blocked(rows: DataFrame, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a bucket's comparison with itself: each class in one of the bucket's blocks, and each class in all of them. Most buckets have one block."""
+    most = BLOCK if block is None else block
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"))
+    large = written(sizes.where(F.col("n") > most).select("band", F.ceil(F.col("n") / most).alias("blocks")), _FEW)
+    counted = joined(rows, large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    one = counted.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks"))).drop("blocks")
+    every = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    return one, every
+
+
 def _likely(pairs: DataFrame, lanes: DataFrame) -> DataFrame:
     """Those pairs (a, b) that may be links."""
     own = F.struct("n_shingles", *_SIGNATURE, *_PARITY)
@@ -258,18 +291,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     own_id = docs["doc_id"].cast("long")
     if repeated.isEmpty():
         kept = written(kept)
-        return joined(docs, kept, own_id == kept["kept_id"], "left_semi", 16)
-    kept = written(joined(kept, repeated, F.col("kept_id") == F.col("repeated_id"), "left_anti", 16))
-    once = joined(docs, kept, own_id == kept["kept_id"], "left_semi", 16)
+        return joined(docs, kept, own_id == kept["kept_id"], "left_semi")
+    kept = written(joined(kept, repeated, F.col("kept_id") == F.col("repeated_id"), "left_anti"))
+    once = joined(docs, kept, own_id == kept["kept_id"], "left_semi")
     # only rows of these ids are hashed again, each under a number of its own
-    rows = written(joined(docs, repeated, own_id.eqNullSafe(repeated["repeated_id"]), "left_semi", 16).withColumn("_row__number", F.monotonically_increasing_id()))
+    rows = written(joined(docs, repeated, own_id.eqNullSafe(repeated["repeated_id"]), "left_semi").withColumn("_row__number", F.monotonically_increasing_id()))
     hashed = signatures(rows.select(F.col("_row__number").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "n_shingles", "set_a", "set_b")
     marked = written(hashed.join(rows.select(F.col("_row__number").alias("row"), F.col("doc_id").cast("long").alias("id")), "row"))
     first = marked.where("n_shingles > 0").groupBy("id", "set_a", "set_b").agg(F.min("row").alias("row")).alias("x")
-    right = written(joined(found.where("kept and n_shingles > 0"), repeated, F.col("doc_id").eqNullSafe(F.col("repeated_id")), "left_semi", 16).select("doc_id", "set_a", "set_b").distinct()).alias("y")
+    right = written(joined(found.where("kept and n_shingles > 0"), repeated, F.col("doc_id").eqNullSafe(F.col("repeated_id")), "left_semi").select("doc_id", "set_a", "set_b").distinct()).alias("y")
     same = F.col("x.id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.set_a") == F.col("y.set_a")) & (F.col("x.set_b") == F.col("y.set_b"))
     stay = written(first.join(right, same, "left_semi").select("row").unionByName(marked.where("n_shingles = 0").select("row")).withColumnRenamed("row", "stay"))
-    return once.unionByName(joined(rows, stay, rows["_row__number"] == stay["stay"], "left_semi", 16).drop("_row__number"))
+    return once.unionByName(joined(rows, stay, rows["_row__number"] == stay["stay"], "left_semi").drop("_row__number"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def trusted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     kinds = found.where("known").select(F.explode("contexts").alias("pattern"), "kind", "doc_id").groupBy("pattern", "kind").agg(F.count_distinct("doc_id").alias("docs"))
     seeded = kinds.groupBy("pattern").agg(F.max("docs").alias("seeds"), F.sum("docs").alias("every"), F.max_by("kind", F.struct("docs", "kind")).alias("seed_kind"))
     good = written(seeded.where((F.col("seeds") >= SUPPORT) & (F.col("seeds") >= KIND_SHARE * F.col("every"))).select("pattern", "seed_kind"), 8)
-    own = written(joined(edges, good, "pattern", "inner", 80), 8)
+    own = written(joined(edges, good, "pattern", "inner"), 8)
     scores = own.select("pattern", "value", F.col("known").cast("double").alias("score"))
     confidence = None
     for _ in range(rounds):
@@ -162,7 +162,7 @@ def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """doc_id and the spans of unknown words that trusted patterns surround: on one side, if a seed of that kind has the word's form, on both sides whatever its form."""
     shapes = found.where("known").select(F.col("kind").alias("seed_kind"), _shape(F.col("value")).alias("shape")).distinct()
     rows = found.where(~F.col("known")).select("doc_id", "start", "end", "value", F.explode("contexts").alias("pattern"))
-    near = joined(rows, patterns, "pattern", "inner", 80).withColumn("shape", _shape(F.col("value")))
+    near = joined(rows, patterns, "pattern", "inner").withColumn("shape", _shape(F.col("value")))
     sure = near.join(shapes.withColumn("like", F.lit(1)), ["seed_kind", "shape"], "left")
     belief = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence") * F.when(F.col("like") == 1, 1.0).when(F.col("pattern").startswith("="), 0.9).otherwise(0.0), F.lit(1e-9)))))
     each = sure.groupBy("doc_id", "start", "end", "value").agg(belief.alias("belief"), F.max_by("seed_kind", F.struct("confidence", "seed_kind")).alias("kind")).where(F.col("belief") >= WORD_CONFIDENCE)
@@ -174,7 +174,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     marked = base_spans(docs)
     graph = written(occurrences(marked.select("doc_id", "text", "base")))
     more = written(discovered(graph, trusted(graph)), 8)
-    out = joined(marked, more.withColumnRenamed("doc_id", "more_id"), F.col("doc_id").eqNullSafe(F.col("more_id")), "left", 200).drop("more_id")
+    out = joined(marked, more.withColumnRenamed("doc_id", "more_id"), F.col("doc_id").eqNullSafe(F.col("more_id")), "left").drop("more_id")
     return out.withColumn("more", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))
 
 

@@ -1,11 +1,12 @@
 import hashlib
+import random
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 
-from clickloom.llm import decontamination, sentencepiece_bpe, token_shards
+from clickloom.llm import decontamination, near_dedup, sentencepiece_bpe, substring_dedup, token_shards
 from clickloom.llm.common import PLAIN, shared_dir, sliding_min, word_slices
 from tests.conftest import DATA
 from tests.llm import helpers
@@ -48,6 +49,74 @@ def test_sentencepiece_equals_library(spark):
     assert codec.decode([3 + 0xE9, 300, 3 + 0xC3, 3 + 0xA9]) == library.decode([3 + 0xE9, 300, 3 + 0xC3, 3 + 0xA9])
 
 
+ALPHABET = ["▁", " ", "  ", "\n", "\t", "-", "a", "b", "the", "The", "É", "é", "日本", "🙂", "<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<s>", "</s>", "<unk>", "\x00", "\x1c", "\x1f", "\u0301", "\u2003", "\u00a0", "1", "23", ".", ",", "!", "|", "<|", "|>", "ﬁ", "İ", "Σ", "ß", "don't", "'S", "<0x41>", "\u200d", "\u0085"]
+
+
+def random_texts(n=20_000):
+    rng = random.Random(4)
+    return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(1, 12))) for _ in range(n)]
+
+
+def test_random_texts_as_the_libraries_encode_them():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = random_texts()
+    library, table = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.default_model()), sentencepiece_bpe.Table(sentencepiece_bpe.default_model())
+    tokenizer, encoder = Tokenizer.from_file(token_shards.default_tokenizer()), token_shards.Encoder(token_shards.default_tokenizer())
+    for at in range(0, len(texts), 500):
+        own = texts[at : at + 500]
+        chunks = [table.chunks(t) for t in own]
+        ids = table.encode(chunks)
+        want = library.encode(own)
+        assert ids == [",".join(map(str, x)) for x in want] and [table.text(c) for c in chunks] == library.decode(want)
+        assert not table.corrected and not table.differing(own, chunks, ids)
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([token_shards.words_of(t, encoder.added) for t in own])]
+        assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in own]
+
+
+def test_list_and_heap_agendas_agree(monkeypatch):
+    codec = sentencepiece_bpe.Codec(sentencepiece_bpe.default_model())
+    texts = random_texts(2_000)
+    flat = [codec.encode(t) for t in texts]
+    monkeypatch.setattr(sentencepiece_bpe, "SHORT", 0)
+    assert [codec.encode(t) for t in texts] == flat
+
+
+def test_full_tables_start_again_with_all_that_belongs_to_them(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece_bpe, "TABLE_CHUNKS", 50)
+    library, table = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.default_model()), sentencepiece_bpe.Table(sentencepiece_bpe.default_model())
+    texts = random_texts(1_000)
+    for at in range(0, len(texts), 20):
+        own = texts[at : at + 20]
+        chunks = [table.chunks(t) for t in own]
+        assert table.encode(chunks) == [",".join(map(str, x)) for x in library.encode(own)] and [table.text(c) for c in chunks] == library.decode(library.encode(own))
+        assert len(table.odd) < 2_000
+
+
+def twins():
+    """Two words of 1,024 letters that every polynomial hash modulo 2**64 with an odd base takes for one."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    import pyarrow as pa
+
+    a, b = twins()
+    for _, _, _, words in word_slices(pa.array([f"{a} {b}"]), PLAIN):
+        assert len(set(words.hash.tolist())) == 2
+    texts = [" ".join(f"{w}" if k % 7 == 3 else f"w{k}" for k in range(61)) for w in (a, b)]
+    assert [r.n_removed for r in substring_dedup.deduplicated(helpers.frame(spark, texts)).orderBy("doc_id").collect()] == [0, 0]
+    assert [r.component_id for r in near_dedup.near_duplicates(helpers.frame(spark, [a, b])).orderBy("doc_id").collect()] == [0, 1]
+    bench = spark.createDataFrame([("x", " ".join([a, *"cdefghijkl"])), ("y", " ".join([b, *"cdefghijkl"]))], "item_id string, text string")
+    assert [r["items"] for r in decontamination.contamination(helpers.frame(spark, [f"q {a} c d e f g h i j k"]), bench).collect()] == [["x"]]
+
+
 def test_decontamination_equals_brute_force(spark):
     items = duckdb.sql(f"select item_id, text from '{DATA}/sf0.01/benchmark.parquet'").fetchall() + [(100, "Tiny Item"), (101, ""), (102, None), (103, "go go go go go go go go go go go")]
     texts = [t for _, t in documents()][:400] + [None, "", "a tiny item here, tiny item", items[3][1].upper() + " x", "go " * 30]
@@ -72,6 +141,18 @@ def test_decontamination_equals_brute_force(spark):
         got = decontamination.contamination(docs, bench, block_words=block).orderBy("doc_id").collect()
         assert [(r.doc_id, r.n_words, r.n_hit, r.items) for r in got] == want
     last = got[-2]
+    for r in got:  # the longest match of each item, by trying every alignment
+        w = helpers.ALNUM.findall(helpers.fold(texts[r.doc_id]))
+        for x in r.longest:
+            own = helpers.ALNUM.findall(helpers.fold(next(t for i, t in items if str(i) == x.item_id)))
+            assert w[x.doc_word : x.doc_word + x.length] == own[x.item_word : x.item_word + x.length]
+            best = 0
+            for shift in range(-len(own), len(w)) if len(w) < 2000 else ():
+                run = 0
+                for k in range(len(own)):
+                    run = run + 1 if 0 <= k + shift < len(w) and w[k + shift] == own[k] else 0
+                    best = max(best, run)
+            assert best in (0, x.length)
     assert last.longest[0].length == len(helpers.ALNUM.findall(items[3][1])) and last.longest[0].doc_word == 0
     clean = decontamination.without_contaminated(docs, bench)
     assert {r.doc_id for r in clean.collect()} == {x[0] for x in want if not x[2]} and clean.columns == docs.columns

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from clickloom.llm import near_dedup
 from tests.conftest import DATA
@@ -93,3 +94,35 @@ def test_repeated_and_null_ids_keep_one_of_each_set(spark):
     got = sorted((repr(r.doc_id), helpers.fold(r.text)) for r in out.collect())
     assert out.columns == docs.columns
     assert got == sorted([("1", "a b c"), ("2", "d e f"), ("4", "g h"), ("None", "x y z"), ("None", "x y z q"), ("None", ""), ("None", ""), ("5", "")])
+
+
+def test_a_hot_band_of_classes_that_do_not_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(700):  # neighbours share about two thirds of their shingles
+        now = list(base)
+        for k in rng.sample(range(300), 12):
+            now[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(now))
+    texts += [texts[5] + " more", " ".join(base), "  ".join(base).upper()]
+    check(spark, texts)
+
+
+def test_blocks_meet_every_pair_once(spark):
+    rows = spark.range(50).selectExpr("id AS class_id", "id % 2 AS band")
+    x, y = near_dedup._blocked(rows, 4)
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.class_id") < F.col("y.class_id"))).select("x.class_id", "y.class_id").collect()
+    assert len(pairs) == len(set(pairs)) == 2 * 25 * 24 // 2
+
+
+def test_what_the_estimate_may_lose():
+    low = near_dedup.least_estimate()
+    assert 0.4 < low < 0.6 and all(near_dedup.estimated_similarity(n) < low for n in range(60)) and near_dedup.estimated_similarity(75) > low
+
+
+def test_components_of_long_chains(spark):
+    chain = [(i, i + 1) for i in range(0, 300)] + [(1000 + i, 2000 - i) for i in range(5)] + [(2000, 1004), (5, 5)]
+    got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(1, 301)) and got[2000] == 1000 and got[1004] == 1000 and 5000 not in got
