@@ -1,29 +1,37 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel, with Nyström landmarks.
 
-Units are the words of a text, lower-cased, without outer marks; a word with inner marks is also read without them, a run of
-single characters also as one word, and a very long token in overlapping windows. The kernel of two units compares their
-subsequences of three characters (word ends count as characters): one that spans s characters weighs DECAY**s, up to SPAN
-characters, so gapped and inserted-character spellings still meet the plain one.
-
-Training reads the sentences of labelled documents; each has its document's label. Strings (words and their first four to seven
-characters) that sentences of far more distinct toxic documents hold than chance allows mark the toxic units; these, respellings of them, and units of clean sentences
-are projected on the landmarks, a linear squared-hinge machine is fitted, and the highest-scoring units of clean documents join
-the negatives for another fit (a document is a bag of words: it is as toxic as its most toxic ones). Words weigh by the root of the
-documents that show them. A logistic curve turns the TOP largest word scores of a document into a probability.
-
-Kernel values come from a table of the landmarks' subsequences, in numpy over all words of a length. A cheap upper bound over all
-landmarks tells most words apart; only the others are compared with each landmark. Texts are scored whole, each distinct word
-once while a worker's table holds it.
-
-Training is bounded: at most MAX_TOXIC and MAX_CLEAN labelled documents, those with the smallest hashes. Null and empty texts
-get the score of a text without any unit; without toxic labels to learn from every text gets the smoothed base rate. Labels
-that contradict each other count as toxic. Repeated rows get equal scores.
+Words are lower-cased, without outer marks; a word with inner marks is also read without them, a run of single characters also as
+one word, and a very long token in overlapping windows. The kernel of two words compares their subsequences of three characters
+(word ends count as characters): one that spans s characters weighs DECAY**s, up to SPAN characters, so gapped and
+inserted-character spellings still meet the plain one. Its power DEGREE is a kernel too. The kernel of two sentences is the sum over all pairs of
+their distinct words, so a sentence's image is the sum of its words' images, and a sentence's decision the bias and the sum of
+what its words add. A sentence of more than PIECE words is read in pieces.
+
+The machine is trained on sentences. A labelled document is a bag of them: clean documents have clean sentences alone, a toxic
+one has a toxic one somewhere. Training starts from all sentences of toxic documents against those of clean ones (a bounded
+sample), each document of equal weight; then the documents are scored, the highest sentence of each and those of the TOP highest of a toxic one
+that count as toxic stand for it, and the machine is fitted again to these and to copies of them in which every longer word has a
+letter put in, ROUNDS times. Images are Nyström projections on LANDMARKS landmarks: words that more toxic documents hold
+than chance allows, chosen greedily so that all such words are near one, and frequent clean words. The landmarks
+only span the space; what is toxic is learned from the sentences. A logistic curve turns the TOP highest sentences of a document
+into a probability.
+
+Kernel values come from a table of the landmarks' subsequences, in numpy over all words of a length, for every word. Texts
+are scored whole, each distinct word once while a worker's table holds it.
+
+Training is bounded: at most MAX_TOXIC and MAX_CLEAN labelled documents, those with the smallest hashes, about MAX_SENTENCES of
+their sentences for the first fit, and CANDIDATES words of each class to choose landmarks from. Null and empty texts get the score of a text
+whose sentences add nothing; without toxic and clean labels to learn from every text gets the smoothed base rate. Labels that
+contradict each other count as toxic. A row without doc_id is scored and is not held out. Repeated rows get equal scores; ties need no
+order; very long texts are scored whole; an empty table gives no rows; other columns are not read (`without_toxic` carries them along).
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,32 +42,33 @@ from clickloom.llm.common import in_arrow, without_gc, written
 
 #: Bounds of the training sample, in documents.
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
-#: Bounds of what reaches the driver: marking strings, toxic units, clean units.
-MAX_STRINGS, MAX_POSITIVE, MAX_NEGATIVE = 5_000, 3_000, 6_000
-LANDMARKS = 160
-#: The kernel, which is 1 for equal units, is taken to this power: near spellings count, chance resemblance doesn't.
+#: Sentences of either class for the first fit, about.
+MAX_SENTENCES = 30_000
+#: Words of either class that landmarks are chosen from.
+CANDIDATES = 2_000
+LANDMARKS, CLEAN_LANDMARKS = 224, 32
+#: The kernel, which is about 1 for equal words, is taken to this power: near spellings count, chance resemblance hardly.
 DEGREE = 3
-#: A unit whose kernel with every toxic landmark is surely below this is far from all.
-FLOOR = 0.35
-#: Groups of like landmarks for the bound.
-GROUPS = 32
-RIDGE = 1e-5
+RIDGE = 1e-3
 DECAY, SPAN = 0.7, 8
-#: Highest scores of distinct words that a document is judged by.
-TOP = 4
+#: Fits after the first one.
+ROUNDS = 3
+#: Highest sentences that a document is judged by.
+TOP = 3
+#: Words in a piece of a sentence at most.
+PIECE = 10
 #: Longer tokens are read in windows of this many characters.
 LONG = 24
-#: Log-likelihood above that of chance at which a string marks toxicity, beyond the logarithm of the number of strings tried.
-EVIDENCE = 10.0
 TABLE_WORDS = 300_000
 
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 _SINGLES = re.compile(r"(?:(?<=\s)|^)(?:[^\W_]\s+){2,}[^\W_](?=\s|$)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s|\n")
 
 
 def units(token: str) -> list[str]:
-    """The strings that a lower-case token is judged by."""
+    """The words that a lower-case token is read as."""
     word = _OUTER.sub("", token)
     if not word:
         return []
@@ -70,10 +79,23 @@ def units(token: str) -> list[str]:
     return [x for w in out for x in ([w] if len(w) <= LONG else [w[i : i + LONG] for i in range(0, len(w) - LONG // 2, LONG // 2)])]
 
 
-def tokens(text: str | None) -> list[str]:
-    """Lower-case tokens between white space, and the runs of three single characters or more as one."""
+def pieces(text: str | None) -> Iterator[list[str]]:
+    """The tokens of each sentence, or piece of one; a run of three single characters or more is one token besides. A very long token's windows make pieces of their own."""
     low = (text or "").lower()
-    return low.split() + ["".join(x.split()) for x in _SINGLES.findall(low)]
+    for sentence in _SENTENCE.split(low):
+        own = sentence.split()
+        if not own:
+            continue
+        if len(own) > 2:
+            own += ["".join(x.split()) for x in _SINGLES.findall(sentence)]
+        long = [t for t in own if len(t) > 2 * LONG]
+        if long:
+            own = [t for t in own if len(t) <= 2 * LONG]
+            for token in long:
+                windows = units(token)
+                yield from (windows[k : k + PIECE] for k in range(0, len(windows), PIECE))
+        for k in range(0, len(own), PIECE):
+            yield own[k : k + PIECE]
 
 
 def _gaps():
@@ -81,10 +103,25 @@ def _gaps():
 
 
 def _norm(length: int) -> float:
-    """Norm of a unit of so many characters (with both ends) whose subsequences are all distinct; a scale that depends on the length alone keeps the kernel positive."""
+    """Norm of a word of so many characters (with both ends) whose subsequences are all distinct."""
     return math.sqrt(sum(max(0, length - e) * w * w for _, e, w in _gaps())) or 1.0
 
 
+def _scales(codes: np.ndarray, size: int) -> np.ndarray:
+    """What the kernel of each word is divided by: the norm for its length, more where it repeats sequences of three characters. Any scale that
+    depends on the word alone keeps the kernel positive; this one keeps it near 1 for equal words."""
+    length = codes.shape[1]
+    keys = np.sort((codes[:, :-2] * size + codes[:, 1:-1]) * size + codes[:, 2:], axis=1)
+    if keys.shape[1] < 2:
+        return np.full(len(codes), _norm(length), np.float32)
+    first = np.ones(keys.shape, bool)
+    first[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    run = np.flatnonzero(first.ravel())
+    counts = np.diff(np.append(run, keys.size))
+    squares = np.bincount(run // keys.shape[1], counts.astype(float) ** 2, minlength=len(codes))
+    return (_norm(length) * np.sqrt(squares / keys.shape[1])).astype(np.float32)
+
+
 class Alphabet:
     """Characters of the landmarks; all others are one that matches nothing."""
 
@@ -113,39 +150,25 @@ def _by_length(strings: list[str]):
 
 
 class Kernel:
-    """Kernel of units with the landmarks: the landmarks' subsequence weights as a dense table with a row for each subsequence that any of them has."""
+    """Kernel of words with the landmarks: the landmarks' subsequence weights as a dense table with a row for each subsequence that any of them has."""
 
-    def __init__(self, landmarks: list[str], toxic: int | None = None):
-        """toxic: so many landmarks, the first, are toxic; only these have bounds."""
+    def __init__(self, landmarks: list[str]):
         self.alphabet = Alphabet(landmarks)
         n = self.alphabet.size
         self.row = np.zeros(n**3, dtype=np.int32)
-        entries: list[tuple[np.ndarray, np.ndarray, float]] = []
+        entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for length, own in _by_length(landmarks):
-            codes, scale = self.alphabet.rows([landmarks[k] for k in own], length), _norm(length + 2)
+            codes = self.alphabet.rows([landmarks[k] for k in own], length)
+            scale = _scales(codes, n)[:, None]
             for d, e, w in _gaps():
                 if e < length + 2:
                     key = self._keys(codes, d, e)
-                    entries.append((key, np.repeat(own, key.shape[1]).reshape(key.shape), w / scale))
+                    entries.append((key, np.repeat(own, key.shape[1]).reshape(key.shape), np.broadcast_to(w / scale, key.shape)))
         every = np.unique(np.concatenate([k.ravel() for k, _, _ in entries]))
         self.row[every] = np.arange(1, len(every) + 1)
         self.table = np.zeros((len(every) + 1, len(landmarks)), dtype=np.float32)
         for key, own, w in entries:
             np.add.at(self.table, (self.row[key], own), w)
-        self.bounds = self._groups(landmarks[:toxic])
-
-    def _groups(self, toxic: list[str]) -> np.ndarray:
-        """Largest weight of each subsequence in each of GROUPS groups of landmarks that are like their first."""
-        like = self(toxic)[:, : len(toxic)] if toxic else np.zeros((0, 0))
-        leaders: list[int] = []
-        for k in range(len(toxic)):
-            if len(leaders) < GROUPS and all(like[k, j] < FLOOR for j in leaders):
-                leaders.append(k)
-        own = np.array([int(np.argmax(like[k, leaders])) for k in range(len(toxic))], dtype=int)
-        out = np.zeros((len(self.table), max(1, len(leaders))), dtype=np.float32)
-        for g in range(len(leaders)):
-            out[:, g] = self.table[:, : len(toxic)][:, own == g].max(axis=1)
-        return out
 
     def _keys(self, codes: np.ndarray, d: int, e: int) -> np.ndarray:
         m, n = codes.shape[1] - e, self.alphabet.size
@@ -155,96 +178,127 @@ class Kernel:
         key += codes[:, e : e + m]
         return key
 
-    def bound(self, strings: list[str]) -> np.ndarray:
-        """No toxic landmark's kernel with a unit is more."""
-        return self._sums(strings, self.bounds).max(axis=1) if strings else np.zeros(0)
-
     def __call__(self, strings: list[str]) -> np.ndarray:
-        return self._sums(strings, self.table)
-
-    def _sums(self, strings: list[str], table: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(strings), table.shape[1]), dtype=np.float32)
+        out = np.zeros((len(strings), self.table.shape[1]), dtype=np.float32)
         for length, every in _by_length(strings):
             for at in range(0, len(every), 2_000):
                 own = every[at : at + 2_000]
                 codes = self.alphabet.rows([strings[k] for k in own], length)
-                total = np.zeros((len(own), table.shape[1]), dtype=np.float32)
+                total = np.zeros((len(own), self.table.shape[1]), dtype=np.float32)
                 for d, e, w in _gaps():
                     if e < length + 2:
                         rows = self.row[self._keys(codes, d, e)]
                         for c in range(rows.shape[1]):
-                            total += np.float32(w) * table[rows[:, c]]
-                out[own] = total / np.float32(_norm(length + 2))
+                            own_rows = rows[:, c]
+                            met = np.flatnonzero(own_rows)  # most subsequences are no landmark's
+                            if 2 * len(met) < len(own_rows):
+                                total[met] += np.float32(w) * self.table[own_rows[met]]
+                            else:
+                                total += np.float32(w) * self.table[own_rows]
+                out[own] = total / _scales(codes, self.alphabet.size)[:, None]
         return out
 
+    def image(self, strings: list[str]) -> np.ndarray:
+        return self(strings) ** DEGREE
+
+
+def evidence(top: np.ndarray) -> np.ndarray:
+    """What the logistic curve weighs: the highest decision, what the next ones are above 0, and 1."""
+    return np.column_stack([np.clip(top[:, 0], -2, 2), np.clip(top[:, 1:], 0, 2), np.ones(len(top))])
+
 
 class Machine:
-    """The fitted decision over powers of the kernel, and the logistic curve of a document's largest word scores."""
+    """The fitted decision, and the logistic curve of a document's highest sentences."""
 
     def __init__(self, kernel: Kernel, beta: np.ndarray, bias: float):
-        self.kernel, self.beta, self.bias = kernel, beta, bias
-        self.curve = np.array([2.0, 0.0, 0.0, 0.0, 0.0])
-        self.scores: dict[str, float] = {}
+        self.kernel, self.beta, self.bias = kernel, beta.astype(np.float32), bias
+        self.curve = np.array([2.0, *[0.0] * TOP])
+        self.adds: dict[str, float] = {}
         self.of_units: dict[str, float] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "scores": {}, "of_units": {}}
-
-    def score_units(self, strings: list[str]) -> np.ndarray:
-        """Decision of each unit; one that can't be near any toxic landmark has the bias alone."""
-        out = np.full(len(strings), self.bias)
-        near = np.flatnonzero(self.kernel.bound(strings) >= FLOOR)
-        for at in range(0, len(near), 5_000):
-            own = near[at : at + 5_000]
-            out[own] += self.kernel([strings[k] for k in own]) ** DEGREE @ self.beta
-        return out
+        return {**self.__dict__, "adds": {}, "of_units": {}}
 
     def learn(self, found: set[str]) -> None:
-        """Score the tokens that the table lacks; a unit that many tokens share (with other marks around it) once."""
-        new = list(found.difference(self.scores))
-        if len(self.scores) + len(new) > TABLE_WORDS and self.scores:
-            self.scores = {}
-            new = list(found)
+        """What the tokens that the table lacks add to a sentence."""
+        if len(self.adds) > TABLE_WORDS:
+            self.adds = {}
         if len(self.of_units) > TABLE_WORDS:
             self.of_units = {}
+        new = list(found.difference(self.adds))
         if not new:
             return
         parts = [units(t) for t in new]
         fresh = list({u for p in parts for u in p}.difference(self.of_units))
-        if fresh:
-            self.of_units.update(zip(fresh, self.score_units(fresh).tolist(), strict=True))
-        get, none = self.of_units.__getitem__, self.bias - 1.0
-        self.scores.update((token, max(map(get, part), default=none)) for token, part in zip(new, parts, strict=True))
-
-    def top(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
-        """The TOP largest scores of each text's distinct tokens, and the token with the largest."""
-        sets = [set(tokens(x)) for x in texts]
-        out, first_tokens = np.full((len(sets), TOP), self.bias - 1.0), []
-        for first in range(0, len(sets), 200):
-            own = sets[first : first + 200]
+        for at in range(0, len(fresh), 20_000):
+            own = fresh[at : at + 20_000]
+            self.of_units.update(zip(own, (self.kernel.image(own) @ self.beta).tolist(), strict=True))
+        get = self.of_units.__getitem__
+        self.adds.update((token, get(part[0]) if len(part) == 1 else sum(map(get, part))) for token, part in zip(new, parts, strict=True))
+
+    def top(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[list[str]]]]:
+        """Decisions on the TOP highest sentences of each text, and their distinct tokens; a text with fewer sentences has empty ones."""
+        out, best = np.full((len(texts), TOP), self.bias), []
+        for first in range(0, len(texts), 200):
+            split = [[set(p) for p in pieces(t)] for t in texts[first : first + 200]]
             with without_gc():
-                self.learn(set().union(*own))
-            get = self.scores.__getitem__
-            for k, s in enumerate(own, first):
-                best = sorted(map(get, s), reverse=True)[:TOP]
-                out[k, : len(best)] = best
-                first_tokens.append(min((t for t in s if get(t) == best[0]), default=""))
-        return out, first_tokens
+                self.learn(set().union(*(p for own in split for p in own)))
+            get = self.adds.__getitem__
+            for k, own in enumerate(split, first):
+                scores = [sum(map(get, p)) for p in own]
+                order = sorted(range(len(own)), key=scores.__getitem__, reverse=True)[:TOP]
+                for j, i in enumerate(order):
+                    out[k, j] = max(out[k, j], self.bias + scores[i])
+                best.append([sorted(own[i]) for i in order])
+        return out, best
 
     def probability(self, top: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.clip(top, -1.5, 1) @ self.curve[:-1] + self.curve[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(evidence(top) @ self.curve, -30, 30)))
+
+
+def images(kernel: Kernel, sentences: list[list[str]]) -> np.ndarray:
+    """Images of sentences (their distinct tokens), before the Nyström projection: sums over their words."""
+    words = list({u for s in sentences for t in s for u in units(t)})
+    place = {w: k for k, w in enumerate(words)}
+    out = np.zeros((len(sentences), kernel.table.shape[1]), dtype=np.float32)
+    own = np.vstack([kernel.image(words[at : at + 20_000]) for at in range(0, len(words), 20_000)]) if words else out[:0]
+    for k, s in enumerate(sentences):
+        at = [place[u] for t in s for u in units(t)]
+        if at:
+            out[k] = own[at].sum(axis=0)
+    return out
+
+
+def respelled(sentence: list[str]) -> list[str]:
+    """A sentence with a letter put into each word of four or more; place and letter follow from the word."""
+    out = []
+    for word in sentence:
+        if len(word) >= 4:
+            h = zlib.crc32(word.encode())
+            k = 1 + h % (len(word) - 1)
+            word = word[:k] + chr(97 + (h >> 8) % 26) + word[k:]
+        out.append(word)
+    return out
 
 
-def _machine(kernel: Kernel, landmarks: list[str], strings: list[str], labels: np.ndarray, weight: np.ndarray) -> Machine:
-    """Nyström projection on the landmarks, then a linear squared-hinge machine by Newton's method with halved steps."""
-    values, vectors = np.linalg.eigh(kernel(landmarks).astype(float) ** DEGREE)
+def standing(kernel: Kernel, top: np.ndarray, best: list[list[str]], toxic: bool) -> np.ndarray:
+    """Images of the sentences that stand for a document, and of their respelled copies."""
+    own = [s for k, s in enumerate(best) if k == 0 or toxic and top[k] > 0] or [[]]
+    return images(kernel, own + [respelled(s) for s in own])
+
+
+def projection(kernel: Kernel, landmarks: list[str]) -> np.ndarray:
+    """The inverse root of the landmarks' own kernel matrix, without directions of hardly any extent."""
+    values, vectors = np.linalg.eigh(kernel.image(landmarks).astype(float))
     whole = values > 1e-4 * values.max()
-    root = vectors[:, whole] / np.sqrt(values[whole])  # K^(-1/2), reduced
-    near = kernel(strings).astype(float) ** DEGREE
-    near[kernel.bound(strings) < FLOOR] = 0.0  # as in scoring
-    x = np.hstack([near @ root, np.ones((len(strings), 1))])
+    return vectors[:, whole] / np.sqrt(values[whole])
+
+
+def fit(kernel: Kernel, root: np.ndarray, near: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> Machine:
+    """A linear squared-hinge machine on projected images, by Newton's method with halved steps; both classes weigh the same."""
+    x = np.hstack([near.astype(float) @ root, np.ones((len(near), 1))])
     y = np.where(labels, 1.0, -1.0)
-    cost = np.where(labels, 0.5 / weight[labels].sum(), 0.5 / max(1.0, weight[~labels].sum())) * weight
+    cost = np.where(labels, 0.5 / max(1e-12, weight[labels].sum()), 0.5 / max(1e-12, weight[~labels].sum())) * weight
     penalty = np.append(np.full(x.shape[1] - 1, RIDGE), 1e-9)
 
     def loss(w: np.ndarray) -> float:
@@ -265,36 +319,23 @@ def _machine(kernel: Kernel, landmarks: list[str], strings: list[str], labels: n
     return Machine(kernel, root @ w[:-1], float(w[-1]))
 
 
-def _covering(words: list[str], weight: np.ndarray, n: int) -> list[str]:
-    """So many of the words, taken one by one: first those that bring the most others (by weight) up to FLOOR, then those that most raise the words' largest kernel values."""
-    like = np.hstack([Kernel(words[at : at + 300], 0)(words) for at in range(0, len(words), 300)])
-    worth = 100 * np.minimum(like, FLOOR) + like**DEGREE
+def covering(words: list[str], weight: np.ndarray, n: int) -> list[str]:
+    """So many of the words, taken one by one: each time the one that most raises the words' (weighed) highest kernel values."""
+    like = np.hstack([Kernel(words[at : at + 300]).image(words) for at in range(0, len(words), 300)])
     most, taken = np.zeros(len(words), dtype=np.float32), []
     for _ in range(min(n, len(words))):
-        gain = weight.astype(np.float32) @ np.maximum(worth - most[:, None], 0)
+        gain = weight.astype(np.float32) @ np.maximum(like - most[:, None], 0)
         gain[taken] = -1
         taken.append(int(np.argmax(gain)))
-        most = np.maximum(most, worth[:, taken[-1]])
+        most = np.maximum(most, like[:, taken[-1]])
     return [words[k] for k in taken]
 
 
-def _respelled(words: list[str], rng: np.random.Generator) -> list[str]:
-    """One respelling with an inserted letter and one with gaps, for each word."""
-    out = []
-    for w in words:
-        if len(w) >= 4:
-            k = int(rng.integers(1, len(w)))
-            out.append(w[:k] + chr(97 + int(rng.integers(26))) + w[k:])
-            gap = "._-*"[int(rng.integers(4))]
-            out.append(w[:k] + gap + w[k:])
-    return out
-
-
 def _curve(top: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Weights of the top scores and a shift, with smoothed targets, by Newton's method."""
+    """Weights of the highest sentences and a shift, with smoothed targets, by Newton's method."""
     n1, n0 = labels.sum(), (~labels).sum()
     y = np.where(labels, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.column_stack([np.clip(top, -1.5, 1), np.ones(len(top))])
+    x = evidence(top)
     w = np.append(np.full(top.shape[1], 0.5), 0.0)
     ridge = 1e-2 * np.append(np.ones(top.shape[1]), 0.0)
     for _ in range(100):
@@ -307,109 +348,146 @@ def _curve(top: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return w
 
 
+def trained(toxic_words: dict[str, float], clean_words: list[str], sentences, documents) -> Machine:
+    """First fit on sentences(kernel), then ROUNDS on the highest sentences that documents(machine, kernel) finds, and the curve.
+
+    sentences: images, labels and weights of sentences. documents: top scores, labels, images of the highest sentences and of their respelled copies, and the document of each.
+    """
+    landmarks = covering(list(toxic_words), np.array(list(toxic_words.values())), LANDMARKS - CLEAN_LANDMARKS)
+    landmarks += [w for w in clean_words if w not in set(landmarks)][:CLEAN_LANDMARKS]
+    kernel = Kernel(landmarks)
+    root = projection(kernel, landmarks)
+    near, labels, weight = sentences(kernel)
+    machine = fit(kernel, root, near, labels, weight)
+    clean, clean_weight = near[~labels], weight[~labels]
+    for turn in range(ROUNDS + 1):
+        top, toxic, best, of = documents(machine, kernel)
+        if turn == ROUNDS:
+            break
+        # highest sentences of clean documents join all that were met before; a toxic document is the sentences that are highest now
+        bad = toxic[of]
+        clean, clean_weight = np.vstack([clean, best[~bad]]), np.append(clean_weight, np.ones(int((~bad).sum())))
+        own = np.vstack([best[bad], clean])
+        machine = fit(kernel, root, own, np.arange(len(own)) < bad.sum(), np.append(1 / np.bincount(of)[of[bad]], clean_weight))
+    # a respelled document is as toxic as the one that it copies
+    again = best @ machine.beta + machine.bias
+    copies = [np.sort(own[len(own) // 2 :])[::-1][:TOP] for own in (again[of == k] for k in np.flatnonzero(toxic))]
+    respelled_top = np.array([np.append(x, np.full(TOP - len(x), machine.bias)) for x in copies]).reshape(-1, TOP)
+    machine.curve = _curve(np.vstack([top, respelled_top]), np.append(toxic, np.ones(len(respelled_top), bool)))
+    return machine
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and label of the bounded sample of labelled documents outside the held-out fold, written."""
+    """id, text and label of the bounded sample of labelled documents outside the held-out fold, written; equal texts are one document."""
     usable = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = usable.where(~held_out("doc_id"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     own = usable.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(usable.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
     sample = F.broadcast(own.select(F.col("doc_id").alias("labelled"), "toxic"))  # at most MAX_TOXIC + MAX_CLEAN rows
-    return written(docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("labelled")).select("text", "toxic"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("labelled"))
+    return written(rows.groupBy(F.xxhash64("text").alias("id")).agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")))
 
 
 def held_out(column: str):
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Machine | float:
-    """A machine learned from the labelled documents that are not held out; a base rate where they show nothing to learn."""
-    rows = training_rows(docs, labels)
-    n = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    base = (n[1] + 1) / (n[0] + 2)
-    # copies of a text are one witness; sentences that copies share count once for each distinct document
-    distinct = rows.groupBy(F.xxhash64("text").alias("id")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    sentences = distinct.select("id", "toxic", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"(?<=[.!?])\s|\n")).alias("sentence"))
-    word = F.explode(F.transform(F.split("sentence", r"\s+"), lambda x: F.regexp_replace(x, r"^[\p{P}\p{S}_]+|[\p{P}\p{S}_]+$", "")))
-    words = written(sentences.select("id", "toxic", word.alias("word")).where("length(word) between 3 and 40").groupBy("id", "word").agg(F.max("toxic").alias("toxic")))
-    one = written(words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")))
-    sums = distinct.agg(F.sum("toxic"), F.count("*")).first()
-    if not sums[0] or sums[0] == sums[1]:
-        return base
-    prior = sums[0] / sums[1]
-    heads = F.array_distinct(F.concat(F.array("word"), F.transform(F.array(*map(F.lit, (4, 5, 6, 7))), lambda k: F.substring(F.col("word"), F.lit(1), k))))
-    each = words.select("id", "toxic", F.explode(heads).alias("string")).where("length(string) >= 3").groupBy("id", "string").agg(F.max("toxic").alias("toxic"))
-    strings = each.groupBy("string").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    rate = F.col("a") / (F.col("a") + F.col("b"))
-    gain = F.col("a") * F.log(rate / prior) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - rate) / (1 - prior))).otherwise(0.0)
-    strings = written(strings.where("a > 0").withColumn("rate", rate).withColumn("gain", gain))
-    tried = strings.count()
-    marking = {r.string for r in strings.where((F.col("gain") >= math.log(max(2, tried)) + EVIDENCE) & (F.col("rate") > max(0.5, 3 * prior) if prior < 0.3 else F.col("rate") > 0.9)).orderBy(F.desc("gain"), "string").limit(MAX_STRINGS).collect()}
-    candidates = one.where("a > 0 and a >= b").orderBy(F.desc("a"), "word").limit(200_000).toPandas()
-    marked = lambda w: w in marking or any(w[:k] in marking for k in (4, 5, 6, 7))
-    positive = {r.word: r.a for r in candidates.itertuples() if marked(r.word)}
-    positive = dict(list(positive.items())[:MAX_POSITIVE])
-    if not positive:
-        return base
-    clean = one.where("a < b")
-    negative = {r.word: r.b for r in clean.orderBy(F.desc("b"), "word").limit(MAX_NEGATIVE // 3).union(clean.orderBy(F.xxhash64("word"), "word").limit(MAX_NEGATIVE)).distinct().orderBy("word").collect()}
-    negative |= {r.word: r.b for r in clean.where(F.substring("word", 1, 4).isin(sorted({w[:4] for w in marking})[:1_000])).orderBy(F.desc("b"), "word").limit(MAX_NEGATIVE // 3).collect()}
-    machine = _trained(positive, negative, lambda m: _tops(rows, m))
-    return machine
+def _words_by_class(rows: DataFrame, prior: float) -> tuple[dict[str, float], list[str]]:
+    """Words to choose landmarks from: those that toxic documents hold more often than chance allows, with their log-likelihood gain, and the most frequent others."""
 
+    def run(batches):
+        for batch in batches:
+            out: list[tuple[str, int]] = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out += [(u, toxic) for u in {u for p in pieces(text) for t in p for u in units(t)} if len(u) > 2]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], names=["word", "toxic"])
 
-def _trained(positive: dict[str, int], negative: dict[str, int], tops) -> Machine:
-    """Fit, let the highest-scoring words of clean documents join the negatives, fit again; then the curve. tops: top scores, first tokens and labels of the training documents."""
-    rng = np.random.default_rng(7)
-    ranked, others = list(positive), list(negative)
-    respelled = _respelled(ranked[:600], rng)
-    landmarks = _covering(ranked, np.log1p(list(positive.values())), LANDMARKS * 3 // 4)
-    first = len(landmarks)
-    like = Kernel(landmarks).bound(others)
-    landmarks += [others[int(k)] for k in np.argsort(-like, kind="stable")[: LANDMARKS - first]]
-    kernel = Kernel(landmarks, first)
-    for turn in range(3):
-        strings = ranked + respelled + list(negative)
-        labels = np.array([True] * (len(ranked) + len(respelled)) + [False] * len(negative))
-        weight = np.concatenate([np.log1p(list(positive.values())), np.ones(len(respelled) + len(negative))])
-        machine = _machine(kernel, landmarks, strings, labels, weight)
-        top, found, toxic = tops(machine)
-        hard = {u for t, token, label in zip(top[:, 0], found, toxic, strict=True) if not label and t > -0.5 for u in units(token)}
-        new = sorted(hard.difference(negative, positive))
-        if turn == 2 or not new:
-            break
-        negative = negative | dict.fromkeys(new, 1)
-    machine.curve = _curve(top, toxic)
-    return machine
+    each = in_arrow(rows.select("text", "toxic"), run, "word string, toxic int")
+    counts = written(each.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")), 8)
+    rate = F.col("a") / (F.col("a") + F.col("b"))
+    gain = F.col("a") * F.log(rate / prior) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - rate) / (1 - prior))).otherwise(0.0)
+    toxic = counts.where("a > 0").withColumn("rate", rate).where(F.col("rate") > prior).select("word", gain.alias("gain")).orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()
+    clean = counts.where((F.col("a") == 0) | (rate <= prior)).orderBy(F.desc("b"), "word").limit(CANDIDATES).collect()
+    return {r.word: r.gain for r in toxic}, [r.word for r in clean]
 
 
-def _tops(rows: DataFrame, machine: Machine) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Top scores, first token and label of every training document; as many rows as the sample is bounded to."""
-    shared = rows.sparkSession.sparkContext.broadcast(machine)
+_IMAGES = "toxic int, weight double, image binary"
 
-    def run(batches):
-        for batch in batches:
-            top, found = shared.value.top(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(top.tolist(), pa.list_(pa.float64())), pa.array([x[:200] for x in found], pa.string()), batch.column(1)], names=["top", "token", "toxic"])
 
-    got = in_arrow(rows.select("text", F.col("toxic").cast("int").alias("toxic")), run, "top array<double>, token string, toxic int").collect()
-    return np.array([r.top for r in got], dtype=float).reshape(-1, TOP), [r.token for r in got], np.array([r.toxic == 1 for r in got], dtype=bool)
+def fitted(docs: DataFrame, labels: DataFrame) -> Machine | float:
+    """A machine learned from the labelled documents that are not held out; a base rate where they show nothing to learn."""
+    rows = training_rows(docs, labels)
+    n, n_toxic, size = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    if not n_toxic or n_toxic == n:
+        return (n_toxic + 1) / (n + 2)
+    toxic_words, clean_words = _words_by_class(rows, n_toxic / n)
+    if not toxic_words:
+        return (n_toxic + 1) / (n + 2)
+    context = rows.sparkSession.sparkContext
+    sizes = {r.toxic: r.size for r in rows.groupBy("toxic").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("size")).collect()}
+    # sentences have some 60 characters; of each document an even share is taken, one at least
+    share = {k: min(1.0, MAX_SENTENCES * 60 / max(1, v)) for k, v in sizes.items()}
+
+    def sentences(kernel: Kernel):
+        shared = context.broadcast(kernel)
+
+        def run(batches):
+            for batch in batches:
+                own, toxic, weight = [], [], []
+                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    every = [sorted(set(p)) for p in pieces(text)]
+                    step = max(1, round(1 / share[label]))
+                    picked = every[::step]
+                    own += picked
+                    toxic += [label] * len(picked)
+                    weight += [1 / len(picked)] * len(picked) if picked else []
+                yield _arrow_images(images(shared.value, own), toxic, weight)
+
+        near, toxic, weight = _collected(in_arrow(rows.select("text", "toxic"), run, _IMAGES))
+        return near, toxic, weight
+
+    def documents(machine: Machine, kernel: Kernel):
+        shared = context.broadcast(machine)
+
+        def run(batches):
+            for batch in batches:
+                own = shared.value
+                top, best = own.top(batch.column(0).to_pylist())
+                near = [standing(own.kernel, x, sentences_, label == 1).tobytes() for x, sentences_, label in zip(top, best, batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(top.tolist(), pa.list_(pa.float64())), batch.column(1), pa.array(near, pa.binary())], names=["top", "toxic", "images"])
+
+        got = in_arrow(rows.select("text", "toxic"), run, "top array<double>, toxic int, images binary").collect()  # a row for each document of the bounded sample
+        near = [np.frombuffer(r["images"], np.float32).reshape(-1, len(machine.beta)) for r in got]
+        return np.array([r.top for r in got]), np.array([r.toxic == 1 for r in got]), np.vstack(near), np.repeat(np.arange(len(got)), [len(x) for x in near])
+
+    return trained(toxic_words, clean_words, sentences, documents)
+
+
+def _arrow_images(near: np.ndarray, toxic: list[int], weight: list[float]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(weight, pa.float64()), pa.array([x.tobytes() for x in near], pa.binary())], names=["toxic", "weight", "image"])
+
+
+def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Images, labels and weights on the driver: about twice MAX_SENTENCES and a row for each document of the sample at most."""
+    got = rows.collect()
+    return np.array([np.frombuffer(r.image, np.float32) for r in got]), np.array([r.toxic == 1 for r in got]), np.array([r.weight for r in got])
 
 
 def scored(docs: DataFrame, machine: Machine | float) -> DataFrame:
-    """doc_id, probability of toxicity and the most toxic token of every document."""
+    """doc_id, probability of toxicity and the distinct words of the most toxic sentence of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
         own = shared.value
         for batch in batches:
             if isinstance(own, float):
-                score, token = np.full(batch.num_rows, own), [""] * batch.num_rows
+                score, words = np.full(batch.num_rows, own), [""] * batch.num_rows
             else:
-                top, token = own.top(batch.column(1).to_pylist())
-                score = own.probability(top)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(token, pa.string())], names=["doc_id", "score", "token"])
+                top, best = own.top(batch.column(1).to_pylist())
+                score, words = own.probability(top), [" ".join(x[0]) if x else "" for x in best]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(words, pa.string())], names=["doc_id", "score", "sentence"])
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double, token string")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double, sentence string")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -432,4 +510,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op2: toxicity of every document, learned from labels outside the held-out fold."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
     out = scored(docs, fitted(docs, labels))
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.col("token").alias("top_token"))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

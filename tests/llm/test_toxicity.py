@@ -45,28 +45,78 @@ def test_nothing_to_learn(spark):
     assert toxicity.scored(docs.limit(0), 0.1).count() == 0
 
 
-def test_bound_and_kernel():
-    marks = ["idiot", "clown", "trash"]
-    kernel = toxicity.Kernel(marks, 2)
-    strings = ["idiot", "idxiot", "clown", "zebra", "q", "trash"]
-    values = kernel(strings)
-    assert values[0, 0] > 0.95 and values[1, 0] > values[3, 0] and np.all(kernel.bound(strings) >= values[:, :2].max(axis=1) - 1e-5)
+def subsequences(word):
+    """Weights of all subsequences of three characters (ends included), by trying every three places."""
+    w, out = f"^{word}$", {}
+    for i in range(len(w)):
+        for j in range(i + 1, len(w)):
+            for k in range(j + 1, len(w)):
+                if k - i < toxicity.SPAN:
+                    key = w[i] + w[j] + w[k]
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i + 1)
+    return out
 
 
-def test_rare_insults_unlike_the_frequent_ones_are_learned():
+def scale(word):
+    w = f"^{word}$"
+    plain = sum(toxicity.DECAY ** (2 * (k - i + 1)) for i in range(len(w)) for j in range(i + 1, len(w)) for k in range(j + 1, len(w)) if k - i < toxicity.SPAN) ** 0.5
+    threes = [w[i : i + 3] for i in range(len(w) - 2)]
+    return plain * (sum(threes.count(x) for x in threes) / len(threes)) ** 0.5
+
+
+def test_kernel_equals_brute_force():
+    marks = ["idiot", "clown", "trash", "tiontiontion", "él", "a"]
+    words = ["idiot", "idxiot", "i.diot", "clown", "zebra", "qq", "trash", "tiontion", "ana", "éléé", "abcdefghijklmnop", "idiotidiotidiotidiotidio"]
+    got = toxicity.Kernel(marks)(words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(marks):
+            x, y = subsequences(a), subsequences(b)
+            want = sum(v * y.get(k, 0) for k, v in x.items()) / scale(a) / scale(b)
+            assert abs(got[i, j] - want) < 1e-4, (a, b)
+    own = toxicity.Kernel(marks)
+    assert np.linalg.eigvalsh(own(marks).astype(float)).min() > -1e-5 and np.linalg.eigvalsh(own.image(marks).astype(float)).min() > -1e-5
+    sentences = [["idiot", "zebra"], [], ["ana"]]
+    assert np.allclose(toxicity.images(own, sentences), [own.image(["idiot"])[0] + own.image(["zebra"])[0], [0] * 6, own.image(["ana"])[0]], atol=1e-5)
+
+
+def test_pieces_hold_every_word():
+    rng = random.Random(1)
+    for _ in range(50):
+        words = ["".join(rng.choice("abc.") for _ in range(rng.choice([2, 3, 9, 30]))) for _ in range(rng.randint(0, 90))]
+        text = "".join(w + rng.choice([" ", ". ", "\n", "! "]) for w in words)
+        own = [t for p in toxicity.pieces(text) for t in p]
+        assert {t for t in text.split() if len(t) <= 2 * toxicity.LONG} <= set(own) and all(len(p) <= toxicity.PIECE for p in toxicity.pieces(text))
+    assert ["idiot"] in [[t for t in p if t == "idiot"] for p in toxicity.pieces("you i d i o t there")]
+    assert "".join(dict.fromkeys(t for p in toxicity.pieces("q" * 30 + "idiot" + "z" * 200) for t in p)).count("idiot") >= 1
+
+
+def test_rare_insults_unlike_the_frequent_ones_are_learned(spark):
     rng = random.Random(3)
-    inner = ["".join(rng.choice("bdklmnrstv") + rng.choice("aiou") for _ in range(3)) for _ in range(300)]
-    positive = {f"grub{w}wit": 600 - k for k, w in enumerate(dict.fromkeys(inner))}
+    inner = list(dict.fromkeys("".join(rng.choice("bdklmnrstv") + rng.choice("aiou") for _ in range(3)) for _ in range(300)))
     rare = ["zjeqxyph", "pfwychek", "hygwyxez", "jyxqweph"]
-    for k, w in enumerate(rare):  # between the words of the frequent kind, at places that no regular step meets
-        positive = dict([*list(positive.items())[: 201 + 7 * k], (w, 300), *list(positive.items())[201 + 7 * k :]])
-    negative = dict.fromkeys(("".join(rng.choice(["ba", "do", "ki", "mel", "ran", "tos", "vu", "sho"]) for _ in range(3)) for _ in range(400)), 5)
-    machine = toxicity._trained(positive, negative, lambda m: (*m.top(["grub ba", "mel do", "zjeqxyph"]), np.array([False, False, True])))
-    assert all(machine.score_units(rare) > 0.5) and all(machine.score_units(["zjeqqxyph", "hygwyxaez"]) > 0) and all(machine.score_units(list(negative)[:50]) < 0)
+    plain, marks = corpus(1200, 9)
+    texts = [" ".join(x for x in t[:-1].split() if x not in ("grubwit", "snotface", "dungpot")) for t in plain]
+    for k, bad in enumerate(marks):
+        if bad:
+            texts[k] += ". ba " + (rng.choice(rare) if rng.random() < 0.15 else f"grub{rng.choice(inner)}wit") + " do"
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(marks)], "doc_id long, quality int, toxic int")
+    machine = toxicity.fitted(helpers.frame(spark, texts), labels)
+    top, _ = machine.top([f"mel {w} ran" for w in rare] + ["mel zjeqqxyph ran", "mel hygwyxaez do"] + [f"ba {w} do vu" for w in ("sho", "tosran", "melkiba")])
+    assert (machine.probability(top)[:4] >= 0.5).all() and (top[4:6, 0] > 0).all() and (machine.probability(top)[6:] < 0.5).all()
 
 
-@pytest.mark.parametrize("sf", ["sf0.01"])
-def test_held_out_fold(spark, sf):
+@pytest.mark.parametrize(("sf", "recall", "precision"), [("sf0.01", 0.7, 0.7), ("sf0.1", 0.86, 0.89)])
+def test_held_out_fold(spark, sf, recall, precision):
+    """Figures that no constant prediction reaches."""
     rows = toxicity.query(spark, f"{DATA}/{sf}").join(spark.read.parquet(f"{DATA}/{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    right = sum(r.predicted == r.toxic for r in rows)
-    assert right / len(rows) >= 0.9
+    hit = sum(r.predicted == r.toxic == 1 for r in rows)
+    assert hit >= recall * sum(r.toxic for r in rows) > 0 and hit >= precision * sum(r.predicted for r in rows)
+
+
+def test_null_ids_and_clashing_columns(spark):
+    texts, marks = corpus(300)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(marks)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i if i else None, t, i, "x", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, toxic long, word string, score double")
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < 300
+    assert docs.select(toxicity.held_out("doc_id").alias("h")).where("h is null").count() == 0
