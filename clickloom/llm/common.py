@@ -325,3 +325,26 @@ def joined(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
     """left joined with a written table: broadcast if its summed bytes fit the bound, else by a shuffle that Spark may split."""
     small = table_bytes(right) <= BROADCAST_BYTES
     return left.join(F.broadcast(right) if small else right, on, how)
+
+
+#: Bits of a filter at most: 16 MB, whatever the number of ids.
+FILTER_BITS = 1 << 27
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be among ids, rows whose id surely is not), told apart by a broadcast bitmap of hashed ids.
+
+    So joins with a part of the documents shuffle the texts of hardly more than that part. ids is a written table; the bitmap has 16 bits an id,
+    FILTER_BITS at most: past that more rows are only likely. A null id is surely not among them.
+    """
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+    held = ids.select(place(F.col(column)).alias("at"))
+    maps = held.groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bitmap"))
+    maps = F.broadcast(written(maps))  # bits / 32,768 rows of 4 KB
+    own = place(F.col(column))
+    position = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring("_bitmap", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
+    marked = docs.join(maps, F.bitmap_bucket_number(own) == F.col("_bucket"), "left")
+    return marked.where(met).select(*docs.columns), marked.where(~met).select(*docs.columns)

@@ -20,7 +20,7 @@ count as one document; a null doc_id has no order, so such documents neither los
 read whole, a slice of their own. An empty table gives no rows; other columns are not read.
 
 Memory of a task: a block of groups has at most GROUP_SEGMENTS entries and the largest group, so 2 * GROUP_SEGMENTS segments of at
-most SEGMENT + WINDOW - 1 words; with 8 bytes a word for each of a handful of arrays about 80 MB.
+most SEGMENT + WINDOW - 1 words; with 8 bytes a word for each of some ten arrays about 80 MB.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import PLAIN, grams, in_arrow, joined, signed, sliding_min, word_slices, written
+from clickloom.llm.common import PLAIN, grams, in_arrow, joined, signed, sliding_min, split_by_ids, word_slices, written
 
 WINDOW = 50
 #: Words of the prefix that a key is made of; each longer one for the keys that are too large with the one before.
@@ -96,7 +96,9 @@ def segments(docs: DataFrame, prefix: int) -> DataFrame:
 def _with_ranges(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, text and the list of (key, start, n) that rows have of each document."""
     lists = written(rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("ranges")))
-    return joined(docs, lists, "doc_id", "inner").select("doc_id", "text", "ranges")
+    # lists grow with the corpus, so they are never broadcast; only texts that may have one are shuffled
+    likely, _ = split_by_ids(docs, lists.select("doc_id"))
+    return likely.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "ranges")
 
 
 def entries(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -349,7 +351,10 @@ def deduplicated(docs: DataFrame, group_segments: int = GROUP_SEGMENTS) -> DataF
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    return in_arrow(joined(docs, found, "doc_id", "left").select("doc_id", "text", "windows", "again"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    likely, others = split_by_ids(docs, found.select("doc_id"))
+    marked = likely.join(found.hint("merge"), "doc_id", "left").select("doc_id", "text", "windows", "again")
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("windows", "again")]
+    return in_arrow(marked.unionByName(others.select("doc_id", "text", *none)), run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from clickloom.llm import decontamination, near_dedup, sentencepiece_bpe, substring_dedup, token_shards
-from clickloom.llm.common import PLAIN, shared_dir, sliding_min, word_slices
+from clickloom.llm.common import PLAIN, shared_dir, sliding_min, split_by_ids, word_slices, written
 from tests.conftest import DATA
 from tests.llm import helpers
 
@@ -33,6 +33,15 @@ def test_words_and_windows():
         assert list(sliding_min(x, width)) == [x[i : i + width].min() for i in range(201 - width)]
 
 
+def test_split_by_ids(spark):
+    docs = spark.range(-500, 3000).selectExpr("id AS doc_id", "id * 2 AS x").unionByName(spark.createDataFrame([(None, 1), (7, 7)], "doc_id long, x long"))
+    ids = written(spark.range(0, 3000, 13).withColumnRenamed("id", "doc_id"))
+    likely, others = split_by_ids(docs, ids)
+    have, rest = [r.doc_id for r in likely.collect()], [r.doc_id for r in others.collect()]
+    assert set(range(0, 3000, 13)) <= set(have) and None in rest and len(have) + len(rest) == 3502 and len(have) < 800
+    assert split_by_ids(docs, ids.limit(0))[0].count() == 0
+
+
 def test_sentencepiece_equals_library(spark):
     import sentencepiece
 
