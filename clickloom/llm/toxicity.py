@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ from clickloom.llm.common import in_arrow, without_gc, written
 #: Bounds of the training sample, in documents.
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
 #: Sentences of either class for the first fit, about.
-MAX_SENTENCES = 30_000
+MAX_SENTENCES = 20_000
 #: Words of either class that landmarks are chosen from.
 CANDIDATES = 2_000
 LANDMARKS, CLEAN_LANDMARKS = 224, 32
@@ -295,21 +296,33 @@ def projection(kernel: Kernel, landmarks: list[str]) -> np.ndarray:
 
 
 def fit(kernel: Kernel, root: np.ndarray, near: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> Machine:
-    """A linear squared-hinge machine on projected images, by Newton's method with halved steps; both classes weigh the same."""
-    x = np.hstack([near.astype(float) @ root, np.ones((len(near), 1))])
+    """A linear squared-hinge machine on projected images, by Newton's method with halved steps; both classes weigh the same. Sums run over blocks of rows."""
+    blocks = [slice(at, at + 4_096) for at in range(0, len(near), 4_096)]
+    x = np.empty((len(near), root.shape[1] + 1), np.float32)
+    for own in blocks:
+        x[own, :-1] = near[own] @ root
+    x[:, -1] = 1
     y = np.where(labels, 1.0, -1.0)
     cost = np.where(labels, 0.5 / max(1e-12, weight[labels].sum()), 0.5 / max(1e-12, weight[~labels].sum())) * weight
     penalty = np.append(np.full(x.shape[1] - 1, RIDGE), 1e-9)
 
+    def decisions(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[own] @ w for own in blocks])
+
     def loss(w: np.ndarray) -> float:
-        return float((cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + (penalty * w * w).sum())
+        return float((cost * np.maximum(0, 1 - y * decisions(w)) ** 2).sum() + (penalty * w * w).sum())
 
     w = np.zeros(x.shape[1])
     now = loss(w)
     for _ in range(60):
-        active = y * (x @ w) < 1
-        a, c = x[active], cost[active][:, None]
-        target = np.linalg.solve((a * c).T @ a + np.diag(penalty), (a * c).T @ y[active])
+        active = y * decisions(w) < 1
+        left, right = np.diag(penalty), np.zeros(len(w))
+        for own in blocks:
+            a = x[own][active[own]].astype(float)
+            weighed = a * cost[own][active[own]][:, None]
+            left += weighed.T @ a
+            right += weighed.T @ y[own][active[own]]
+        target = np.linalg.solve(left, right)
         step = 1.0
         while (then := loss(w + step * (target - w))) > now and step > 1e-4:
             step /= 2
@@ -443,7 +456,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Machine | float:
                     weight += [1 / len(picked)] * len(picked) if picked else []
                 yield _arrow_images(images(shared.value, own), toxic, weight)
 
-        near, toxic, weight = _collected(in_arrow(rows.select("text", "toxic"), run, _IMAGES))
+        near, toxic, weight = _collected(in_arrow(rows.select("text", "toxic"), run, _IMAGES), kernel.table.shape[1])
         return near, toxic, weight
 
     def documents(machine: Machine, kernel: Kernel):
@@ -456,9 +469,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Machine | float:
                 near = [standing(own.kernel, x, sentences_, label == 1).tobytes() for x, sentences_, label in zip(top, best, batch.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(top.tolist(), pa.list_(pa.float64())), batch.column(1), pa.array(near, pa.binary())], names=["top", "toxic", "images"])
 
-        got = in_arrow(rows.select("text", "toxic"), run, "top array<double>, toxic int, images binary").collect()  # a row for each document of the bounded sample
-        near = [np.frombuffer(r["images"], np.float32).reshape(-1, len(machine.beta)) for r in got]
-        return np.array([r.top for r in got]), np.array([r.toxic == 1 for r in got]), np.vstack(near), np.repeat(np.arange(len(got)), [len(x) for x in near])
+        got = in_arrow(rows.select("text", "toxic"), run, "top array<double>, toxic int, images binary").toArrow()  # a row for each document of the bounded sample
+        sizes = pc.binary_length(got["images"]).to_numpy() // (4 * len(machine.beta))
+        return np.array(got["top"].to_pylist()), got["toxic"].to_numpy() == 1, _floats(got["images"], len(machine.beta)), np.repeat(np.arange(len(sizes)), sizes)
 
     return trained(toxic_words, clean_words, sentences, documents)
 
@@ -467,10 +480,18 @@ def _arrow_images(near: np.ndarray, toxic: list[int], weight: list[float]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(weight, pa.float64()), pa.array([x.tobytes() for x in near], pa.binary())], names=["toxic", "weight", "image"])
 
 
-def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _collected(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Images, labels and weights on the driver: about twice MAX_SENTENCES and a row for each document of the sample at most."""
-    got = rows.collect()
-    return np.array([np.frombuffer(r.image, np.float32) for r in got]), np.array([r.toxic == 1 for r in got]), np.array([r.weight for r in got])
+    got = rows.toArrow()
+    return _floats(got["image"], width), got["toxic"].to_numpy() == 1, got["weight"].to_numpy()
+
+
+def _floats(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of so many numbers from serialized ones."""
+    parts = [np.zeros((0, width), np.float32)]
+    for chunk in column.chunks:
+        parts += [np.frombuffer(x, np.float32).reshape(-1, width) for x in (v.as_buffer() for v in chunk)]
+    return np.vstack(parts)
 
 
 def scored(docs: DataFrame, machine: Machine | float) -> DataFrame:
