@@ -88,13 +88,16 @@ def stratified_sample(sessions: DataFrame, total: int = 100, order: Column | Non
     """total shared equally among days and within a day by the hours' shares (both cut to whole sessions), without replacement; order picks within an hour (default: a hash of the id)."""
     keyed = sessions.withColumn("date", F.to_date("start_time")).withColumn("hour", F.hour("start_time").cast("long"))
     hours = keyed.groupBy("date", "hour").agg(F.count("*").alias("in_hour"))
-    days = hours.groupBy("date").agg(F.sum("in_hour").alias("in_day"))
-    n_days = days.agg(F.count("*").alias("days"))
-    quota = hours.join(days, "date").crossJoin(F.broadcast(n_days))  # n_days is one row
+    # a row for each hour of a calendar day goes through these windows
+    in_day = F.sum("in_hour").over(Window.partitionBy("date"))
+    ranked_days = hours.withColumn("in_day", in_day).withColumn("_day", F.dense_rank().over(Window.orderBy("date")))
+    days = F.max("_day").over(Window.partitionBy())
     per_day = F.floor(F.lit(total) / F.col("days"))
+    quota = ranked_days.withColumn("days", days)
     quota = quota.select("date", "hour", F.least(F.floor(F.col("in_hour").cast("double") / F.col("in_day") * per_day), F.col("in_hour")).alias("quota")).where("quota > 0")
     pick = Window.partitionBy("date", "hour").orderBy(F.md5("session_id") if order is None else order, "session_id")
-    ranked = keyed.withColumn("_pick", F.row_number().over(pick))
+    # no hour has a larger quota than total, so each task keeps that many rows of an hour at most
+    ranked = keyed.withColumn("_pick", F.row_number().over(pick)).where(F.col("_pick") <= total)
     return ranked.join(quota, ["date", "hour"]).where(F.col("_pick") <= F.col("quota")).drop("_pick", "quota")
 
 

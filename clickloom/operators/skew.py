@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The most rows of a side that broadcast_join sends to every executor.
-BROADCAST_ROWS = 1_000_000
+#: The most rows, and characters of text in them, of a side that broadcast_join sends to every executor.
+BROADCAST_ROWS, BROADCAST_CHARS = 1_000_000, 24 << 20
 
 
 def salted_count(df: DataFrame, keys: list[str], salts: int = 10, name: str = "n") -> DataFrame:
@@ -28,20 +28,23 @@ def heavy_keys(df: DataFrame, key: str, fraction: float = 0.1, n: int = 1, seed:
 
 
 def skew_split_join(left: DataFrame, right: DataFrame, key: str, salts: int = 100, fraction: float = 0.1, n: int = 1) -> DataFrame:
-    """Inner join in two branches: the heaviest keys of a sample salted, all others plain."""
-    heavy = F.broadcast(heavy_keys(left, key, fraction, n).select(key))  # n rows
-    salted = salted_join(left.join(heavy, key, "left_semi"), right.join(heavy, key, "left_semi"), key, salts)
-    return left.join(heavy, key, "left_anti").join(right, key).unionByName(salted)
+    """Inner join in two branches: the heaviest keys of a sample salted, all others plain. The n keys are found once, and each side is read once a branch."""
+    heavy = [r[0] for r in heavy_keys(left, key, fraction, n).collect()]  # n values
+    if not heavy:
+        return left.join(right, key)
+    of_heavy = F.coalesce(F.col(key).isin([x for x in heavy if x is not None]), F.lit(False))
+    salted = salted_join(left.where(of_heavy), right.where(of_heavy), key, salts)
+    return left.where(~of_heavy).join(right, key).unionByName(salted)
 
 
-def broadcast_join(left: DataFrame, right: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join with right on every executor if it has at most so many rows, else by a shuffle."""
-    small = right.limit(rows + 1).count() <= rows
-    return left.join(F.broadcast(right) if small else right, key)
+def broadcast_join(left: DataFrame, right: DataFrame, key: str, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> DataFrame:
+    """Inner join with right on every executor if it has at most so many rows and characters, else by a shuffle."""
+    texts = [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in right.columns]
+    n, size = right.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    return left.join(F.broadcast(right) if n <= rows and size <= chars else right, key)
 
 
 def materialised_sessions(actions: DataFrame, path: str) -> DataFrame:
-    """Actions grouped by session once and written, for jobs that need a session's actions together."""
-    row = F.struct("action_time", "action_id", "page_id", "click_category_id", "click_product_id")
-    actions.groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("actions")).write.mode("overwrite").parquet(path)
+    """Actions dealt by session and sorted by time once, and written, for jobs that read sessions in order; a session is rows on end in one file, never one array."""
+    actions.repartition("session_id").sortWithinPartitions("session_id", "action_time", "action_id").write.mode("overwrite").parquet(path)
     return actions.sparkSession.read.parquet(path)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions import scalars
 from clickloom.operators import areas, funnel, sessions, skew, topn
-from clickloom.params import TaskParams
-from clickloom.plans import jobs
+from clickloom.params import TaskParams, find_task
+from clickloom.plans import jobs, task_tables
 from clickloom.sources import tables
 from clickloom.streaming import ads
 from clickloom.streaming.sinks import VersionedTable, shared_folder
@@ -539,3 +540,122 @@ def _(spark, sf_dir):
 @registered("session_job", ACTIONS + "\nSELECT category_id, click_count, order_count, pay_count FROM (SELECT category_id, count(*) FILTER (WHERE kind = 'click') AS click_count, count(*) FILTER (WHERE kind = 'order') AS order_count, count(*) FILTER (WHERE kind = 'pay') AS pay_count FROM (SELECT click_category_id AS category_id, 'click' AS kind FROM actions WHERE click_category_id IS NOT NULL AND session_id IN (SELECT session_id FROM filtered) UNION ALL SELECT unnest([k % 20, (k + 1) % 20]), CASE event_type WHEN 'signup' THEN 'order' ELSE 'pay' END FROM actions WHERE event_type IN ('signup', 'purchase') AND k IS NOT NULL AND session_id IN (SELECT session_id FROM filtered)) GROUP BY category_id) ORDER BY click_count DESC, order_count DESC, pay_count DESC, category_id LIMIT 10")
 def _(spark, sf_dir):
     return jobs.session_analysis(_actions(spark, sf_dir), tables.users(spark, sf_dir), PARAMS).top_categories
+
+
+TASK = '{"startDate": ["2024-01-05"], "endDate": ["2024-01-20"], "startAge": ["10"], "endAge": ["50"], "sex": ["male"], "targetPageFlow": ["3,5,2,4,6"]}'
+TASK_ID = 7
+#: The parts of a session that fall in the task's dates are a session of their own.
+OWN = (
+    ACTIONS.replace(") , sess AS", "), sess AS").replace("FROM actions GROUP BY session_id", "FROM actions WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY session_id")
+    + """, mine AS (
+  SELECT * FROM su WHERE age BETWEEN 10 AND 50 AND sex = 'male'
+), own_actions AS (
+  SELECT * FROM actions WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND session_id IN (SELECT session_id FROM mine)
+), own_cat AS (
+  SELECT click_category_id AS category_id, 'click' AS kind FROM own_actions WHERE click_category_id IS NOT NULL
+  UNION ALL
+  SELECT unnest([k % 20, (k + 1) % 20]) AS category_id, CASE event_type WHEN 'signup' THEN 'order' ELSE 'pay' END AS kind FROM own_actions WHERE event_type IN ('signup', 'purchase') AND k IS NOT NULL
+), own_top AS (
+  SELECT category_id, count(*) FILTER (WHERE kind = 'click') AS click_count, count(*) FILTER (WHERE kind = 'order') AS order_count, count(*) FILTER (WHERE kind = 'pay') AS pay_count FROM own_cat GROUP BY category_id
+  ORDER BY click_count DESC, order_count DESC, pay_count DESC, category_id LIMIT 10
+), own_top_sess AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY click_count DESC, session_id) AS rank
+    FROM (SELECT click_category_id AS category_id, session_id, count(*) AS click_count FROM own_actions WHERE click_category_id IN (SELECT category_id FROM own_top) GROUP BY ALL)
+  ) WHERE rank <= 10
+), keyed AS (
+  SELECT *, CAST(start_time AS DATE) AS day, hour(start_time) AS hour, md5(session_id) AS h FROM mine
+), hours AS (
+  SELECT day, hour, count(*) AS in_hour FROM keyed GROUP BY ALL
+), quotas AS (
+  SELECT day, hour, least(CAST(floor(CAST(in_hour AS DOUBLE) / sum(in_hour) OVER (PARTITION BY day) * (100 // (SELECT count(DISTINCT day) FROM hours))) AS BIGINT), in_hour) AS quota FROM hours
+), picked AS (
+  SELECT k.* FROM (SELECT *, row_number() OVER (PARTITION BY day, hour ORDER BY h, session_id) AS pick FROM keyed) k JOIN quotas q ON k.day = q.day AND k.hour = q.hour WHERE pick <= quota
+)"""
+)
+
+
+def _task_sql() -> dict[str, str]:
+    ratios = []
+    for prefix, column, bounds in (("visit_length", "visit_length", sessions.VISIT_BUCKETS), ("step_length", "step_length", sessions.STEP_BUCKETS)):
+        for name, low, high in bounds:
+            count = f"count(*) FILTER (WHERE {column} " + (f"BETWEEN {low} AND {high})" if high else f">= {low})")
+            ratios.append(f'((200 * {count} + nullif(count(*), 0)) // (2 * nullif(count(*), 0))) / 100.0 AS "{prefix}_{name}_ratio"')
+    lists = ", ".join(f"CASE WHEN event_type = '{kind}' THEN {value} END AS {name}" for kind, names in (("signup", "order"), ("purchase", "pay")) for name, value in ((f"{names}_category_ids", "(k % 20) || ',' || ((k + 1) % 20)"), (f"{names}_product_ids", "CAST(k AS VARCHAR)")))
+    detail = f"SELECT CAST({TASK_ID} AS BIGINT) AS taskid, user_id AS userid, session_id AS sessionid, page_id AS pageid, action_time, search_keyword, click_category_id, click_product_id, {lists} FROM actions WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND session_id IN "
+    task = f"SELECT CAST({TASK_ID} AS BIGINT) AS taskid, "
+    return {
+        "session_aggr_stat": OWN + f"\n{task}count(*) AS session_count, {', '.join(ratios)} FROM mine",
+        "session_random_extract": OWN + f"\n{task}session_id AS sessionid, start_time, keywords AS search_keywords, coalesce(array_to_string(list_sort(cats), ','), '') AS click_category_ids FROM picked",
+        "session_detail": OWN + f"\n{detail}(SELECT session_id FROM picked) UNION ALL {detail}(SELECT session_id FROM own_top_sess)",
+        "top10_category": OWN + f"\n{task}category_id AS categoryid, click_count, order_count, pay_count FROM own_top",
+        "top10_category_session": OWN + f"\n{task}category_id AS categoryid, session_id AS sessionid, click_count FROM own_top_sess",
+        "page_split_convert_rate": PAIRS.replace("FROM actions)", "FROM actions WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')").replace(f"FROM actions WHERE page_id = {FLOW[0]}", f"FROM actions WHERE page_id = {FLOW[0]} AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+        + f"\n{task}string_agg(from_page || '_' || to_page || '=' || printf('%.2f', {RATE}), '|' ORDER BY position) AS convert_rate FROM rates",
+        "area_top3_product": AREAS.replace("JOIN customer ON o_custkey = c_custkey", "JOIN customer ON o_custkey = c_custkey WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1990-01-01' AND DATE '2100-01-01'")
+        + f"\n{task}area, CASE area WHEN 'ASIA' THEN 'A Level' WHEN 'EUROPE' THEN 'A Level' WHEN 'AMERICA' THEN 'B Level' WHEN 'AFRICA' THEN 'C Level' ELSE 'D Level' END AS area_level, product_id, city_infos, click_count, product_name, product_status FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY click_count DESC, product_id) AS rank FROM full_counts) WHERE rank <= 3",
+    }
+
+
+def _task_tables(spark, sf_dir, name: str) -> DataFrame:
+    """The task's row is looked up, its job run, and one of its tables returned."""
+    tasks = spark.createDataFrame([(TASK_ID, TASK)], "task_id long, params string")
+    p = find_task(tasks, TASK_ID)
+    if name == "page_split_convert_rate":
+        return task_tables.page_tables(_actions(spark, sf_dir), p, TASK_ID)[name]
+    if name == "area_top3_product":
+        wide = replace(p, start_date=dt.date(1990, 1, 1), end_date=dt.date(2100, 1, 1))
+        return task_tables.area_tables(tables.product_clicks(spark, sf_dir), tables.cities(spark, sf_dir), tables.products(spark, sf_dir), wide, TASK_ID, levels=REGION_LEVELS)[name]
+    return task_tables.session_task(_actions(spark, sf_dir), tables.users(spark, sf_dir), p, TASK_ID)[name]
+
+
+for _name, _sql in _task_sql().items():
+    registered(f"task_{_name}", _sql)(lambda spark, sf_dir, name=_name: _task_tables(spark, sf_dir, name))
+
+
+@registered("upsert_replace_nulls", ADS + HALVES.replace("ad_id, count(*)", "CASE WHEN ad_id % 3 = 0 THEN NULL ELSE ad_id END AS ad_id, count(*)") + "\nSELECT * FROM b UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.date = a.date AND b.province = a.province AND b.ad_id IS NOT DISTINCT FROM a.ad_id)")
+def _(spark, sf_dir):
+    out = VersionedTable(spark, shared_folder(spark), PROVINCES)
+    for batch_id, half in enumerate(_halves(spark, sf_dir)):
+        rows = half.withColumn("ad_id", F.when(F.col("ad_id") % 3 != 0, F.col("ad_id"))).groupBy("date", "province", "ad_id").agg(F.count("*").alias("click_count"))
+        for _again in range(2):
+            out.replace(rows, batch_id, ["date", "province", "ad_id"])
+    return out.read()
+
+
+@registered(
+    "trend_sliding",
+    ADS
+    + """, ends AS (
+  SELECT ad_id, unnest(generate_series(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 60 MINUTES, INTERVAL 1 MINUTE)) AS window_end FROM clicks
+)
+SELECT window_end - INTERVAL 60 MINUTES AS window_start, window_end, ad_id, count(*) AS click_count FROM ends GROUP BY window_end, ad_id""",
+)
+def _(spark, sf_dir):
+    clicks = tables.ad_clicks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return ads.sliding_counts(clicks, "60 minutes", "1 minute").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "ad_id", "click_count")
+
+
+@registered(
+    "scalar_edges",
+    """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'v' || event_id END AS field, 'a=1|b=new|b=2' AS changed, CAST(event_id AS VARCHAR) AS dotted,
+       floor((event_id % 1000) / 8.0 * 100 + 0.5) / 100 AS rounded, event_id % 2 = 0 AS earlier, DATE '2024-02-03' AS key_day
+FROM events""",
+)
+def _(spark, sf_dir):
+    scalars.register(spark)
+    n = F.col("event_id").cast("string")
+    # a first field that is none, one with two signs, one that counts, and one that comes too late
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("b=|b=x="), n, F.lit("=|a=1"))).otherwise(F.concat(F.lit("a=1|a=2|b=|b=v"), n, F.lit("|b=9")))
+    odd = F.concat(F.lit('{"a.b":'), n, F.lit(',"a":{"b":0}}'))
+    return tables.table(spark, sf_dir, "events").withColumn("js", odd).select(
+        "event_id", scalars.field_of(text, "b").alias("field"), scalars.with_field(F.lit("a=1|b=1|b=2||"), "b", F.lit("new")).alias("changed"), F.expr("json_field(js, 'a.b')").alias("dotted"),
+        scalars.format_double(F.col("event_id") % 1000 / 8.0, 2).alias("rounded"), scalars.is_before(F.lit("2024-01-01 1:00:00"), F.when(F.col("event_id") % 2 == 0, "2024-01-01 02:00:00").otherwise("none")).alias("earlier"), scalars.date_key(F.lit("20240203")).alias("key_day"),
+    )
+
+
+@registered("group_concat_distinct", "SELECT n_regionkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+def _(spark, sf_dir):
+    tables.table(spark, sf_dir, "nation").createOrReplaceTempView("own_nation")
+    return scalars.sql(spark, "SELECT n_regionkey, group_concat_distinct(concat(n_name, '')) AS names FROM own_nation GROUP BY n_regionkey")

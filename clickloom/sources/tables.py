@@ -25,6 +25,46 @@ def catalog_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def hive_session(name: str, warehouse: str, **config) -> SparkSession:
+    """A session with a Hive metastore; its tables are catalog tables."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.warehouse.dir", warehouse)
+    for key, value in config.items():
+        builder = builder.config(key, value)
+    return builder.enableHiveSupport().getOrCreate()
+
+
+def as_view(spark: SparkSession, rows: list[tuple], schema: str, name: str) -> DataFrame:
+    """Rows as a temporary view that SQL can name."""
+    df = in_memory(spark, rows, schema)
+    df.createOrReplaceTempView(name)
+    return df
+
+
+def generated(spark: SparkSession, users: int = 100, sessions: int = 1000, products: int = 100, seed: int = 1, heavy: float = 0.0, day: str = "2024-01-01") -> dict[str, DataFrame]:
+    """Seeded behaviour tables of any size, made on the executors: user_visit_action, user_info and product_info. heavy: share of all actions that fall on session 0, for skew."""
+    kinds = F.array(*map(F.lit, ("search", "click", "order", "pay")))
+    number = lambda salt, n: F.pmod(F.xxhash64("action_id", F.lit(salt), F.lit(seed)), F.lit(n))
+    plain = spark.range(sessions).select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(100)))).alias("step")).select(F.col("id").alias("n"), (F.col("id") * 1000 + F.col("step")).alias("action_id"))
+    more = spark.range(int(heavy / (1 - heavy) * sessions * 50)).select(F.lit(0).cast("long").alias("n"), (-1 - F.col("id")).alias("action_id"))
+    rows = plain.unionByName(more).withColumn("kind", F.get(kinds, number(1, 4).cast("int"))).withColumn("second", number(2, 86_400))
+    when = lambda kind, value: F.when(F.col("kind") == kind, value)
+    listed = lambda salt, n: F.array(number(salt, n))
+    actions_ = rows.select(
+        "action_id", F.lit(day).cast("date").alias("date"), F.pmod(F.xxhash64("n", F.lit(seed + 1)), F.lit(users)).alias("user_id"), F.md5(F.concat(F.col("n").cast("string"), F.lit(f"-{seed}"))).alias("session_id"), number(3, 10).alias("page_id"),
+        F.timestamp_seconds(F.unix_seconds(F.lit(day).cast("timestamp")) + F.col("second")).cast("timestamp_ntz").alias("action_time"), when("search", F.concat(F.lit("keyword"), number(4, 10).cast("string"))).alias("search_keyword"),
+        when("click", number(5, 100)).alias("click_category_id"), when("click", number(6, products)).alias("click_product_id"), when("order", listed(5, 100)).alias("order_category_ids"), when("order", listed(6, products)).alias("order_product_ids"),
+        when("pay", listed(5, 100)).alias("pay_category_ids"), when("pay", listed(6, products)).alias("pay_product_ids"), number(7, 10).alias("city_id"),
+    )
+    named = lambda prefix, c="id": F.concat(F.lit(prefix), F.col(c).cast("string"))
+    people = spark.range(users).select(
+        F.col("id").alias("user_id"), named("user").alias("username"), named("name").alias("name"), F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(60)).cast("int").alias("age"),
+        F.concat(F.lit("professional"), F.pmod(F.xxhash64("id", F.lit(seed + 3)), F.lit(100)).cast("string")).alias("professional"), F.concat(F.lit("city"), F.pmod(F.xxhash64("id", F.lit(seed + 4)), F.lit(100)).cast("string")).alias("city"),
+        F.when(F.col("id") % 2 == 0, "male").otherwise("female").alias("sex"),
+    )
+    goods = spark.range(products).select(F.col("id").alias("product_id"), named("product").alias("product_name"), F.concat(F.lit('{"product_status":'), F.pmod(F.xxhash64("id", F.lit(seed + 5)), F.lit(2)).cast("string"), F.lit("}")).alias("extend_info"))
+    return {"user_visit_action": actions_, "user_info": people, "product_info": goods}
+
+
 def in_memory(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

@@ -61,3 +61,9 @@ def trend(clicks: DataFrame, minutes: int = TREND_MINUTES) -> DataFrame:
     counts = minute_counts(clicks)
     last = counts.agg(F.max("minute").alias("last"))  # one row
     return counts.crossJoin(F.broadcast(last)).where(F.col("minute") > F.col("last") - F.expr(f"INTERVAL {minutes} MINUTES")).drop("last")
+
+
+def sliding_counts(clicks: DataFrame, length: str = "60 minutes", slide: str = "10 seconds") -> DataFrame:
+    """Clicks of each ad in windows of event time, one each slide; for a batch or a stream (with a watermark on ts). Clicks are counted by slide before they are spread over the windows that hold them."""
+    short = clicks.groupBy(F.window("ts", slide).alias("_slide"), "ad_id").agg(F.count("*").alias("_n"))
+    return short.groupBy(F.window(F.window_time("_slide"), length, slide).alias("window"), "ad_id").agg(F.sum("_n").alias("click_count")).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "ad_id", "click_count")

@@ -24,9 +24,10 @@ def file_lines(spark: SparkSession, path: str, files_per_batch: int | None = Non
 class AdStream:
     """Tables ad_user_click_count, ad_blacklist, ad_stat, ad_province_top3 and ad_click_trend under one folder.
 
-    In each batch: clicks of users blacklisted in earlier batches go; the day's user-ad counts grow; users at the threshold
-    join the blacklist, which the next batch is filtered by; ad counts, province tops and minute counts follow. The trend
-    counts every click, blacklisted users' too, by event time. A batch that is replayed changes nothing.
+    In each batch: clicks of users blacklisted in earlier batches go; the day's user-ad counts grow; users of this batch at the
+    threshold join the blacklist, which the next batch is filtered by; ad counts, the tops of this batch's provinces and the totals of its
+    minutes follow. The trend counts every click, blacklisted users' too, by event time. A batch that is replayed changes
+    nothing; batches are told apart by the query that runs them, so a new checkpoint begins anew.
     """
 
     def __init__(self, spark: SparkSession, folder: str, threshold: int = ads.THRESHOLD, top: int = 3, trend_minutes: int = ads.TREND_MINUTES):
@@ -38,19 +39,26 @@ class AdStream:
         self.tops = make("ad_province_top3", "date date, province string, ad_id long, click_count long, rank long")
         self.minutes = make("ad_click_trend", "minute timestamp, ad_id long, click_count long")
 
-    def step(self, batch: DataFrame, batch_id: int) -> None:
+    def step(self, batch: DataFrame, batch_id: int, query: str | None = None) -> None:
         every = batch.persist()
+        query = query or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "0"
         try:
             # a replayed batch must be filtered by the blacklist that it was filtered by at first
-            known = self.blacklist.versions()
-            own = [v for v in known if v < batch_id]
-            listed = batch.sparkSession.read.schema("user_id long").parquet(f"{self.blacklist.path}/v={own[-1]}") if own else batch.sparkSession.createDataFrame([], "user_id long")
-            clicks = ads.without_blacklisted(every, listed)
-            self.user_counts.add(ads.user_ad_counts(clicks), batch_id, ["date", "user_id", "ad_id"], "click_count")
-            self.blacklist.append(ads.blacklisted(self.user_counts.read(), self.threshold), batch_id, ["user_id"])
-            self.stat.add(ads.ad_counts(clicks), batch_id, ["date", "province", "city", "ad_id"], "click_count")
-            self.tops.replace(ads.province_top(self.stat.read(), self.top), batch_id, ["date", "province"])
-            self.minutes.add(ads.minute_counts(every), batch_id, ["minute", "ad_id"], "click_count")
+            clicks = ads.without_blacklisted(every, self.blacklist.read((query, batch_id)))
+            counts = ads.user_ad_counts(clicks)
+            self.user_counts.add(counts, batch_id, ["date", "user_id", "ad_id"], "click_count", query)
+            # only users whose counts this batch changed can have come to the threshold
+            changed = self.user_counts.read().join(counts.select("user_id").distinct(), "user_id", "left_semi")
+            self.blacklist.append(ads.blacklisted(changed, self.threshold), batch_id, ["user_id"], query)
+            stat = ads.ad_counts(clicks)
+            self.stat.add(stat, batch_id, ["date", "province", "city", "ad_id"], "click_count", query)
+            places = stat.select(F.col("date").alias("_date"), F.col("province").alias("_province")).distinct()
+            own = self.stat.read().join(places, F.col("date").eqNullSafe(F.col("_date")) & F.col("province").eqNullSafe(F.col("_province")), "left_semi")
+            self.tops.replace(ads.province_top(own, self.top), batch_id, ["date", "province"], query)
+            # the totals of the minutes that this batch touches replace those there
+            now = ads.minute_counts(every)
+            before = self.minutes.read((query, batch_id)).join(now.select("minute", "ad_id"), ["minute", "ad_id"], "left_semi")
+            self.minutes.replace(before.unionByName(now).groupBy("minute", "ad_id").agg(F.sum("click_count").alias("click_count")), batch_id, ["minute", "ad_id"], query)
         finally:
             every.unpersist()
 
@@ -61,7 +69,7 @@ class AdStream:
 
     def start(self, lines: DataFrame, checkpoint: str, once: bool = False, every: str = "5 seconds") -> StreamingQuery:
         """Run over a stream of log lines; a restart goes on from the checkpoint."""
-        writer = ads.parsed(lines).writeStream.foreachBatch(self.step).option("checkpointLocation", checkpoint)
+        writer = ads.parsed(lines).writeStream.foreachBatch(lambda batch, batch_id: self.step(batch, batch_id)).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 

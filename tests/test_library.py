@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from clickloom.functions import scalars
 from clickloom.operators import areas, funnel, sessions, skew, topn
 from clickloom.params import TaskParams, find_task
-from clickloom.plans import jobs
+from clickloom.plans import jobs, task_tables
 from clickloom.sources import tables
 from clickloom.streaming import ads
 from clickloom.streaming.runner import AdStream, file_lines, running_counts
-from clickloom.streaming.sinks import VersionedTable, shared_folder, write_jdbc, write_task_rows
+from clickloom.streaming.sinks import VersionedTable, shared_folder, upsert_jdbc, write_jdbc, write_task_rows
 
 START = dt.datetime(2024, 1, 1, 10)
 ACTION = "action_id long, date date, user_id long, session_id string, page_id long, action_time timestamp_ntz, search_keyword string, click_category_id long, click_product_id long, order_category_ids array<long>, pay_category_ids array<long>, city_id long"
@@ -132,7 +132,7 @@ def test_sources_and_batch_sinks(spark, tmp_path):
     write_task_rows(rows, str(tmp_path / "out"), 5)
     assert spark.read.parquet(str(tmp_path / "out")).first().task_id == 5
     grouped = skew.materialised_sessions(spark.createDataFrame([action(2, "a", 5), action(1, "a", 0)], ACTION), str(tmp_path / "s"))
-    assert [x.action_id for x in grouped.first().actions] == [1, 2]
+    assert [x.action_id for x in grouped.collect()] == [1, 2]
 
 
 def test_versioned_table(spark):
@@ -141,7 +141,7 @@ def test_versioned_table(spark):
     assert table.read().count() == 0 and table.add(rows((1, 1), (2, 1)), 0, ["k"], "v") and not table.add(rows((1, 1)), 0, ["k"], "v")
     assert table.add(rows((1, 5), (3, 1)), 1, ["k"], "v") and table.replace(rows((2, 9), (4, 4)), 2, ["k"]) and not table.replace(rows((2, 1)), 1, ["k"])
     assert sorted(map(tuple, table.read().collect())) == [(1, 6), (2, 9), (3, 1), (4, 4)]
-    assert table.append(rows((4, 0), (5, 5)), 3, ["k"]) and table.read().count() == 5 and table.versions() == [2, 3]
+    assert table.append(rows((4, 0), (5, 5)), 3, ["k"]) and table.read().count() == 5 and table.batches() == [2, 3]
 
 
 def line(ts, user, ad=1, province="P_1", city="C"):
@@ -162,9 +162,17 @@ def test_stream_with_blacklist_feedback(spark, tmp_path):
     assert sorted(r.user_id for r in stream.blacklist.read().collect()) == [7, 8]
     assert [r.click_count for r in stream.stat.read().collect()] == [209] and [r["rank"] for r in stream.tops.read().collect()] == [1]
     assert sorted(r.click_count for r in stream.trend().collect()) == [7, 54, 203]
-    before = stream.user_counts.versions()
-    stream.step(ads.parsed(spark.read.text(str(source / "2.txt"))), 2)
-    assert stream.user_counts.versions() == before
+    (own,) = {d.query for d in stream.user_counts._log()[1]}
+    before = stream.user_counts.batches(own)
+    stream.step(ads.parsed(spark.read.text(str(source / "2.txt"))), 2, own)
+    assert stream.user_counts.batches(own) == before == [0, 1, 2]
+    # another checkpoint is another query: its batches begin at 0 and count
+    more = tmp_path / "more"
+    more.mkdir()
+    (more / "0.txt").write_text("\n".join(line(noon, 9) for _ in range(5)))
+    stream.start(file_lines(spark, str(more), 1), str(tmp_path / "other"), once=True).awaitTermination()
+    assert {r.user_id: r.click_count for r in stream.user_counts.read().collect()} == {7: 100, 8: 101, 9: 13}
+    assert sum(r.click_count for r in stream.minutes.read().collect()) == 269
 
 
 def test_stream_counts_equal_batch_counts(spark, tmp_path):
@@ -178,3 +186,98 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     want = ads.ad_counts(ads.parsed(spark.read.text(str(source))))
     key = lambda df: sorted(map(tuple, df.select("date", "province", "city", "ad_id", "click_count").collect()))
     assert key(spark.table("running")) == key(want)
+
+
+def test_table_of_many_batches_with_nulls(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "a long, b long, v long")
+    table = VersionedTable(spark, shared_folder(spark), "a long, b long, v long", fold=3)
+    for k in range(8):
+        assert table.replace(rows((1, None, k), (None, None, k), (k, 1, k)), k, ["a", "b"])
+    assert not table.replace(rows((1, None, 99)), 2, ["a", "b"]) and not table.replace(rows((1, None, 99)), 7, ["a", "b"])
+    want = sorted([(1, None, 7), (None, None, 7), *((k, 1, k) for k in range(8))], key=repr)
+    assert sorted(map(tuple, table.read().collect()), key=repr) == want and len(table._log()[1]) <= 3
+    assert table.replace(rows((5, 5, 5)), 0, ["a", "b"], query="other") and table.read().count() == len(want) + 1
+    assert table.read(("other", 0)).count() == len(want)
+    keyed = VersionedTable(spark, shared_folder(spark), "a long, b long, v long", fold=2)
+    for k in range(5):
+        keyed.append(rows((None, k % 2, k), (None, k % 2, 50 + k)), k, ["a", "b"])
+    assert {(r.a, r.b) for r in keyed.read().collect()} == {(None, 0), (None, 1)} and keyed.read().count() == 2
+    assert keyed.append(rows((1, 1, 1), (1, 1, 1)), 9) and keyed.read().count() == 4
+
+
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def test_database_upserts(spark):
+    url, typed = "jdbc:derby:memory:upserts;create=true", {**DERBY, "createTableColumnTypes": "day VARCHAR(32)"}
+    rows = lambda *x: spark.createDataFrame(list(x), "day string, ad long, clicks long")
+    read = lambda: sorted(map(tuple, tables.jdbc_table(spark, url, "ad_stat", **DERBY).collect()), key=repr)
+    write_jdbc(rows(("d", 1, 5), ("d", None, 1)), url, "ad_stat", "overwrite", **typed)
+    upsert_jdbc(rows(("d", 1, 2), ("e", 1, 4), ("d", None, 3)), url, "ad_stat", ["day", "ad"], "clicks", **typed)
+    assert read() == sorted([("d", 1, 7), ("d", None, 4), ("e", 1, 4)], key=repr)
+    upsert_jdbc(rows(("d", 1, 1), ("f", 9, 9)), url, "ad_stat", ["day", "ad"], **typed)
+    assert read() == sorted([("d", 1, 1), ("d", None, 4), ("e", 1, 4), ("f", 9, 9)], key=repr)
+    upsert_jdbc(rows(("d", 8, 8)), url, "ad_stat", ["day"], **typed)
+    assert read() == sorted([("d", 8, 8), ("e", 1, 4), ("f", 9, 9)], key=repr)
+
+
+def test_task_tables_in_files_and_a_database(spark, tmp_path):
+    made = tables.generated(spark, users=20, sessions=60, products=10, heavy=0.3)
+    p = TaskParams(start_age=0, end_age=59, page_flow=(1, 2, 3))
+    cities = spark.createDataFrame([(i, f"c{i}", f"area{i % 2}") for i in range(10)], "city_id long, city_name string, area string")
+    clicks = made["user_visit_action"].select("city_id", made["user_visit_action"]["click_product_id"].alias("product_id"), "date")
+    results = task_tables.session_task(made["user_visit_action"], made["user_info"], p, 3) | task_tables.page_tables(made["user_visit_action"], p, 3) | task_tables.area_tables(clicks, cities, made["product_info"], p, 3)
+    assert set(results) == set(task_tables.TABLES)
+    for _again in range(2):
+        task_tables.write_tables(results, folder=str(tmp_path))
+    task_tables.write_tables(results, url="jdbc:derby:memory:tasks;create=true", **DERBY)
+    for name, schema in task_tables.TABLES.items():
+        n = spark.read.parquet(f"{tmp_path}/{name}").count()
+        stored = tables.jdbc_table(spark, "jdbc:derby:memory:tasks", name, **DERBY)
+        assert n == stored.count() > 0 and [c.lower() for c in stored.columns] == [x.split(" ")[0] for x in schema.split(", ")]
+
+
+def test_generated_tables_are_skewed_and_repeatable(spark):
+    one, two = (tables.generated(spark, sessions=40, heavy=0.5)["user_visit_action"] for _ in range(2))
+    counts = sorted((r["count"] for r in one.groupBy("session_id").count().collect()), reverse=True)
+    assert one.exceptAll(two).isEmpty() and counts[0] > 10 * counts[1] and len(counts) == 40
+    assert tables.as_view(spark, [(1, "x")], "id long, name string", "few_rows").count() == spark.table("few_rows").count() == 1
+
+
+def test_sliding_windows_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
+    source = tmp_path / "log"
+    source.mkdir()
+    rows = [line(dt.datetime(2024, 1, 1, 5, i % 60, i % 50), i, i % 3) for i in range(60)]
+    for k in range(3):
+        (source / f"{k}.txt").write_text("\n".join(rows[k::3]))
+    clicks = ads.parsed(file_lines(spark, str(source), 1)).withWatermark("ts", "2 hours")
+    ads.sliding_counts(clicks, "30 minutes", "10 minutes").writeStream.outputMode("append").format("memory").queryName("sliding").trigger(availableNow=True).start().awaitTermination()
+    whole = {tuple(r) for r in ads.sliding_counts(ads.parsed(spark.read.text(str(source))), "30 minutes", "10 minutes").collect()}
+    brute = {}
+    for r in ads.parsed(spark.read.text(str(source))).collect():
+        for k in range(3):
+            start = r.ts.replace(minute=r.ts.minute // 10 * 10, second=0, microsecond=0) - dt.timedelta(minutes=10 * k)
+            brute[start, r.ad_id] = brute.get((start, r.ad_id), 0) + 1
+    assert {(r[0], r[2]): r[3] for r in whole} == brute and set(map(tuple, spark.table("sliding").collect())) <= whole
+
+
+def test_exact_rounding(spark):
+    import decimal
+    import random
+
+    rng = random.Random(2)
+    values = [1.005, 2.675, 0.125, 0.375, -0.125, 1e17, 0.0, 5e-324, 0.285, 1.115, 1234567.885] + [rng.randrange(10**7) / 1000 + 0.005 * rng.randrange(2) for _ in range(2000)]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(scalars.format_double(F.col("v"), 2).alias("x")).collect()]
+    assert got == [float(decimal.Decimal(v).quantize(decimal.Decimal("0.01"), rounding=decimal.ROUND_HALF_UP)) for v in values]
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double").select(scalars.format_double(F.col("v"), 2).alias("x"))
+    assert [r.x for r in odd.collect()] == [None] * 3
+
+
+def test_scans_of_shared_plans(spark):
+    from tests.conftest import DATA
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [event_id")
+
+    actions = tables.actions(spark, f"{DATA}/sf0.001")
+    assert scans(topn.category_counts(actions)) == 1 and scans(sessions.stratified_sample(sessions.session_aggregate(actions))) == 2
