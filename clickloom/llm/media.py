@@ -8,7 +8,8 @@ one digest, and the join carries facts about a payload, never its bytes, unless
 
 Samples are kept as PNG, 64 RGB pixels of 8 bits a row: lossless, checksummed, self-describing.
 
-Null and empty pages have no items, null and empty texts a payload of padding alone. Repeated rows give equal results.
+Null and empty pages have no items, null and empty texts a payload of padding alone. Repeated rows give equal results; equal texts are one
+payload. Very long texts are one medium. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import in_arrow, written
+from clickloom.llm.common import in_arrow, split_by_ids, written
 from clickloom.llm.html_tokens import INLINE, attributes, one_line, tokens
 
 ROW_BYTES = 192
@@ -168,14 +169,16 @@ def digest_of(source: str) -> str | None:
 _ARROW_ITEM = pa.struct([("position", pa.int32()), *((k, pa.string()) for k in ("kind", "text", "source", "digest", "caption"))])
 
 
-def interleaved(pages: DataFrame) -> DataFrame:
-    """page_id and its items in order, from columns page_id and html."""
+def interleaved(pages: DataFrame, *carried: str) -> DataFrame:
+    """page_id and its items in order, from columns page_id and html; other columns can be carried along."""
+    kinds = "".join(f", {c} {pages.schema[c].dataType.simpleString()}" for c in carried)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([items(x) for x in batch.column(1).to_pylist()], pa.list_(_ARROW_ITEM))], names=["page_id", "items"])
+            own = pa.array([items(x) for x in batch.column(1).to_pylist()], pa.list_(_ARROW_ITEM))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, *(batch.column(2 + k) for k in range(len(carried)))], names=["page_id", "items", *carried])
 
-    return in_arrow(pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")), run, f"page_id long, items array<{ITEM}>")
+    return in_arrow(pages.select(F.col("page_id").cast("long"), F.col("html").cast("string"), *carried), run, f"page_id long, items array<{ITEM}>{kinds}")
 
 
 def resolved(sequences: DataFrame, media: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
@@ -191,21 +194,40 @@ def resolved(sequences: DataFrame, media: DataFrame, addresses: DataFrame | None
     return found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), item))).alias("items"))
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """The media store, written: one row per document with its digest and the PNG that holds its text's bytes."""
+def named(docs: DataFrame) -> DataFrame:
+    """Written: doc_id, the size of each text and the digest of its payload."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len((x or "").encode()) for x in texts], pa.int64()), pa.array([hashlib.sha256(padded(x)).hexdigest() for x in texts], pa.string())], names=["doc_id", "n_bytes", "digest"]
+            )
+
+    return written(in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_bytes long, digest string"))
+
+
+def stored(docs: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The media store, written: digest and the PNG that holds a text's bytes, once for each digest (rows that share a doc_id, or have none, are stored each).
+
+    Copies are found on the digests alone; only texts that may be copies are shuffled to leave them out.
+    """
+    names = named(docs) if names is None else names
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    heads = names.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "head")
+    single = names.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("digest").alias("digest")).where("rows = 1")
+    copies = written(single.join(heads, "digest").where("doc_id > head").select("doc_id"))
+    likely, others = split_by_ids(docs, copies)
+    once = likely.join(copies.hint("merge"), "doc_id", "left_anti").unionByName(others)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
             for at in range(0, len(texts), 500):
                 payloads = [padded(x) for x in texts[at : at + 500]]
-                sizes = [len((x or "").encode()) for x in texts[at : at + 500]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 500), pa.array(sizes, pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()), pa.array([to_png(p) for p in payloads], pa.binary())],
-                    names=["doc_id", "n_bytes", "digest", "media"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()), pa.array([to_png(p) for p in payloads], pa.binary())], names=["digest", "media"])
 
-    return written(in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_bytes long, digest string, media binary"))
+    return written(in_arrow(once.select("text"), run, "digest string, media binary"))
 
 
 def facts(store: DataFrame) -> DataFrame:
@@ -229,12 +251,28 @@ def facts(store: DataFrame) -> DataFrame:
     return every.groupBy("digest").agg(F.min(F.struct(*rest)).alias("x")).select("digest", "x.*")
 
 
+#: Figures on one page of the query.
+FIGURES = 32
+
+
+def galleries(names: DataFrame) -> DataFrame:
+    """page_id, html and members: documents on end shown on one page, each as a heading, a figure that refers to its payload by digest, and a note."""
+    paged = names.withColumn("_row", F.monotonically_increasing_id()).withColumn("page_id", F.floor(F.col("_row") / FIGURES))
+    pages = paged.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("_row", "doc_id", "n_bytes", "digest"))).alias("members"))
+    one = lambda x: F.concat(F.lit("<h2>Row "), x["_row"].cast("string"), F.lit('</h2><figure><img src="sha256:'), x["digest"], F.lit('"><figcaption>Text of row '), x["_row"].cast("string"), F.lit("</figcaption></figure><p>End.</p>"))
+    return pages.select("page_id", F.array_join(F.transform("members", one), "").alias("html"), "members")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """op8: every text stored as a medium, shown on a page that refers to it by digest, and resolved from there."""
-    store = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    figure = F.concat(F.lit('<figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>"))
-    pages = store.select(F.col("doc_id").alias("page_id"), figure.alias("html"))
-    references = interleaved(pages).select(F.col("page_id").alias("doc_id"), F.explode("items").alias("item"))
-    found = references.join(written(facts(store)), F.col("item.digest") == F.col("digest"))  # written, so that Spark may split the join of a hot digest
-    size = F.split("item.caption", " ")[0].cast("long")
-    return found.select("doc_id", size.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """op8: every text stored as a medium; pages show the texts in order and refer to them by digest; from the pages' items the media are resolved, each figure in its place."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = named(docs)
+    known = written(facts(stored(docs, names)))  # written, so that Spark may split the join of a hot digest
+    shown = interleaved(galleries(names), "members")
+    figures = F.filter("items", lambda x: x["kind"] == "media")
+    placed = shown.select(F.explode(F.arrays_zip(figures.alias("item"), F.col("members").alias("member"))).alias("x")).select("x.item", "x.member")
+    # a figure's caption tells whose it is: anything out of place is an error
+    aligned = F.col("item.caption") == F.concat(F.lit("Text of row "), F.col("member._row").cast("string"))
+    digest = F.when(aligned, F.col("item.digest")).otherwise(F.raise_error(F.lit("a figure has another's caption")).cast("string"))
+    rows = placed.select(F.col("member.doc_id").alias("doc_id"), F.col("member.n_bytes").alias("n_bytes"), digest.alias("digest"))
+    return rows.join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": media.query,
         "op9_decontamination": decontamination.query,
         "op10_token_shards": token_shards.query,
+        "rollup_of_word_counts": token_counts.word_query,
     }
 
 
@@ -28,6 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_substring_dedup": substring_dedup.ORACLE,
         "op4_minhash_near_dedup": near_dedup.ORACLE,
-        "op5_token_counts": token_counts.ORACLE,
+        "rollup_of_word_counts": token_counts.ORACLE,
         "op9_decontamination": decontamination.ORACLE,
     }

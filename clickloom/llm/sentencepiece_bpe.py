@@ -175,6 +175,8 @@ class Table:
         self.marks: dict[str, str] = {"": ""}
         self.odd: dict[str, str] = {}
         self.corrected: set[str] = set()
+        #: Numbers of ids of chunks, where only these are asked for.
+        self.numbers: dict[str, int] = {}
 
     def chunks(self, text: str) -> list[str]:
         """The text's chunks, each without its first space; the mark itself is a space."""
@@ -257,10 +259,28 @@ class Table:
         with without_gc():
             return self._encoded(texts)
 
+    def _make_room(self) -> None:
+        if max(len(self.ids), len(self.runs)) > TABLE_CHUNKS:
+            self.ids, self.runs, self.marks, self.odd, self.corrected, self.numbers = {}, {}, {"": ""}, {}, set(), {}
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """Number of ids of each text, checked as ids are."""
+        chunks = [self.chunks(t or "") for t in texts]
+        with without_gc():
+            self._make_room()
+            new = set().union(*chunks).difference(self.numbers)
+            if lacking := new.difference(self.ids):
+                self.learn(lacking)
+            self.numbers.update((c, self.ids[c].count(",") + 1) for c in new)
+            out = [sum(map(self.numbers.__getitem__, own)) for own in chunks]
+        for k, t in enumerate(texts):
+            if t and (k == 0 or _ODD.search(t)):
+                out[k] = len(self.codec.library.encode(t))
+        return out
+
     def _encoded(self, texts: list[list[str]]) -> list[str]:
         # emptied here, before these texts look anything up, so that what they find has all that belongs to it
-        if max(len(self.ids), len(self.runs)) > TABLE_CHUNKS:
-            self.ids, self.runs, self.marks, self.odd, self.corrected = {}, {}, {"": ""}, {}, set()
+        self._make_room()
         found = [list(map(self.ids.get, chunks)) for chunks in texts]
         holes = [list(gaps(own)) for own in found]
         if new := {chunks[k] for chunks, own in zip(texts, holes, strict=True) for k in own}:
