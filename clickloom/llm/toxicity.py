@@ -182,20 +182,25 @@ class Kernel:
     def __call__(self, strings: list[str]) -> np.ndarray:
         out = np.zeros((len(strings), self.table.shape[1]), dtype=np.float32)
         for length, every in _by_length(strings):
-            for at in range(0, len(every), 2_000):
-                own = every[at : at + 2_000]
+            for at in range(0, len(every), 1_000):
+                own = every[at : at + 1_000]
                 codes = self.alphabet.rows([strings[k] for k in own], length)
-                total = np.zeros((len(own), self.table.shape[1]), dtype=np.float32)
-                for d, e, w in _gaps():
-                    if e < length + 2:
+                total, buffer = (np.zeros((len(own), self.table.shape[1]), dtype=np.float32) for _ in range(2))
+                for e in range(2, min(SPAN, length + 2)):
+                    # subsequences of one span weigh the same: they are summed first
+                    summed = np.zeros_like(total)
+                    for d in range(1, e):
                         rows = self.row[self._keys(codes, d, e)]
                         for c in range(rows.shape[1]):
                             own_rows = rows[:, c]
                             met = np.flatnonzero(own_rows)  # most subsequences are no landmark's
                             if 2 * len(met) < len(own_rows):
-                                total[met] += np.float32(w) * self.table[own_rows[met]]
+                                summed[met] += self.table[own_rows[met]]
                             else:
-                                total += np.float32(w) * self.table[own_rows]
+                                np.take(self.table, own_rows, axis=0, out=buffer, mode="clip")
+                                summed += buffer
+                    summed *= np.float32(DECAY ** (e + 1))
+                    total += summed
                 out[own] = total / _scales(codes, self.alphabet.size)[:, None]
         return out
 
@@ -282,10 +287,14 @@ def respelled(sentence: list[str]) -> list[str]:
     return out
 
 
-def standing(kernel: Kernel, top: np.ndarray, best: list[list[str]], toxic: bool) -> np.ndarray:
-    """Images of the sentences that stand for a document, and of their respelled copies."""
-    own = [s for k, s in enumerate(best) if k == 0 or toxic and top[k] > 0] or [[]]
-    return images(kernel, own + [respelled(s) for s in own])
+def standing(kernel: Kernel, top: np.ndarray, best: list[list[list[str]]], toxic: list[bool]) -> list[np.ndarray]:
+    """For each document, images of the sentences that stand for it, and of their respelled copies."""
+    sentences, sizes = [], []
+    for own_top, own_best, bad in zip(top, best, toxic, strict=True):
+        own = [s for k, s in enumerate(own_best) if k == 0 or bad and own_top[k] > 0] or [[]]
+        sentences += own + [respelled(s) for s in own]
+        sizes.append(2 * len(own))
+    return np.split(images(kernel, sentences), np.cumsum(sizes)[:-1])
 
 
 def projection(kernel: Kernel, landmarks: list[str]) -> np.ndarray:
@@ -466,7 +475,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Machine | float:
             for batch in batches:
                 own = shared.value
                 top, best = own.top(batch.column(0).to_pylist())
-                near = [standing(own.kernel, x, sentences_, label == 1).tobytes() for x, sentences_, label in zip(top, best, batch.column(1).to_pylist(), strict=True)]
+                near = [x.tobytes() for x in standing(own.kernel, top, best, [x == 1 for x in batch.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([pa.array(top.tolist(), pa.list_(pa.float64())), batch.column(1), pa.array(near, pa.binary())], names=["top", "toxic", "images"])
 
         got = in_arrow(rows.select("text", "toxic"), run, "top array<double>, toxic int, images binary").toArrow()  # a row for each document of the bounded sample
