@@ -41,8 +41,8 @@ LEVEL = 1
 #: A shard is closed when it has this many bytes.
 SHARD_BYTES = 32 << 20
 #: Words, and runs of letters, that a Python worker keeps; a full table is emptied and fills again. A word whose letters are
-#: known costs no call of the library, so there is more room for these.
-TABLE_WORDS, TABLE_RUNS = 500_000, 600_000
+#: known costs no call of the library.
+TABLE_WORDS, TABLE_RUNS = 300_000, 300_000
 
 SHARDS = "shard_key long, part long, path string, n_docs long, n_ids long"
 
@@ -99,7 +99,8 @@ class Encoder(dict):
         plain, other, runs = [], [], self.runs
         for word in new:
             if (m := _PLAIN.fullmatch(word)) is not None:
-                plain.append((word, m[1].lower(), m[2]))
+                low = m[1].lower()
+                plain.append((word, word if low == word else low, m[2]))  # one object for both tables
             else:
                 other.append(word)
         self.update(zip(other, self._apart(other), strict=True))
