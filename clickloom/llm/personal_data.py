@@ -1,17 +1,21 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame and SQL functions alone.
 
-Seeds are the identifiers that four base patterns find. Their contexts (the word before and the word after) induce lexical
-patterns; each pattern is scored by how much of what it surrounds is known, each unknown identifier-like word by the patterns
-around it, and the two scores are passed along the pattern-instance graph for a few rounds, each a grouped aggregate. Words that
-patterns of high confidence surround on both sides, or on one side if a seed has their form, become identifiers too. The base spans
-stay.
+Seeds are the identifiers that four base patterns find, and words that look like secrets (SECRET: long, of hexadecimal digits). Their
+contexts (the word before and the word after) induce lexical patterns. In each of ROUNDS rounds Spark scores the graph of patterns
+and instances by grouped aggregates: a pattern by the share of known identifiers among what it surrounds, an instance by the patterns
+around it; instances of high belief are promoted, and count as known when patterns are induced again. At last words that
+trusted patterns surround on both sides, or on one side if a known identifier of that kind has their form, become spans. The base
+spans stay. A seed secret is no span by its look alone: trusted patterns must surround it too.
 
 Positions are code points. A base pattern is found by splitting the text at its matches: the gaps' and the matches' lengths,
-summed in order, are the positions. The patterns are written so that the Java matcher neither recurses nor starts again inside a
+summed in order, are the positions. They are summed in blocks of BLOCK matches, so the time for a text of n matches grows with n * BLOCK
+and n * n / BLOCK**2. The patterns are written so that the Java matcher neither recurses nor starts again inside a
 run that has failed as a whole, which leaves the leftmost matches as they are.
 
-Null and empty texts have no spans; overlapping kinds are all kept; repeated rows give equal spans, and count once for each
-document in the graph. Without seeds there are no patterns, and nothing is discovered.
+A context reaches NEAR characters, and only words of SHORTEST characters or more with a digit are candidates beside the base matches.
+Null and empty texts have no spans; very long texts are read whole; overlapping kinds are all kept; repeated rows give equal spans, and
+rows count as documents by their ids. A null doc_id is an id of its own here. Without seeds there are no patterns, and nothing is discovered. An empty table
+gives no rows. Other columns are carried along, whatever their names but that of the result.
 """
 
 from __future__ import annotations
@@ -19,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import joined, written
+from clickloom.llm.common import joined, split_by_ids, written
 
 KINDS = ["email", "ip", "card", "phone"]
+#: Kinds of all spans, in the order in which they are listed.
+ALL_KINDS = [*KINDS, "secret"]
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: A match may only start where a run starts or the last match ended: inside a run that failed every start fails.
 PATTERNS = {
@@ -37,27 +43,50 @@ _NEEDS = {"email": ("@",), "ip": (".",), "card": (), "phone": ("+",)}
 ROUNDS, SUPPORT, PATTERN_CONFIDENCE, WORD_CONFIDENCE = 3, 3, 0.8, 0.75
 #: Share of the documents with seeds in a pattern, summed over kinds, that its commonest kind needs.
 KIND_SHARE = 0.8
-#: Identifier-like words: at least so many characters with a digit among them, not more than this.
-_WORD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{6,120}(?:[\x20\x09-\x0D]|$))(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]++"
+#: Belief at which an instance counts as known in the next round.
+PROMOTION = 0.95
+#: Candidates have so many characters at least; contexts reach so far.
+SHORTEST, NEAR = 6, 200
+_WORD = rf"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{{{SHORTEST},}})(?=[^0-9\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]++"
+#: The look of a secret, in quotes or not: 32 hexadecimal digits or more, letters and digits among them.
+SECRET = r"^[\"']?(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}[\"']?[^0-9A-Za-z\"']*$"
+#: Matches whose positions are summed together.
+BLOCK = 64
 
 SPAN = "struct<kind:string, start:int, end:int, value:string>"
 
 
+_PLACED = "array<struct<start:int, end:int, value:string>>"
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Structs (start, end, value) of all matches of a pattern, in order."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int, end:int, value:string>>").alias("out"))
+    pairs = F.transform(found, lambda value, k: F.struct(F.get(gaps, k).alias("gap"), value.alias("value")))
+    return F.when(F.size(pairs) <= BLOCK, _placed(pairs, F.lit(0))).otherwise(_in_blocks(pairs))
+
+
+def _placed(pairs: Column, first: Column) -> Column:
+    """Positions of consecutive matches, the first gap beginning at first."""
+    zero = F.struct(first.alias("at"), F.array().cast(_PLACED).alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    pairs = F.transform(found, lambda value, k: F.struct(F.get(gaps, k).alias("gap"), value.alias("value")))
     return F.aggregate(pairs, zero, step, lambda state: state["out"])
 
 
+def _in_blocks(pairs: Column) -> Column:
+    numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(numbers, lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)))
+    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + y["gap"] + F.length(y["value"])))
+    starts = F.aggregate(sums, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), F.slice(starts, F.lit(1), F.size(blocks)).alias("first")), lambda x: _placed(x["block"], x["first"])))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -107,13 +136,13 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def _before(text: Column, start: Column) -> Column:
     """The word before a position, lower-case, digits as 0; empty at a line's start."""
-    near = F.substring(text, F.greatest(start - 40, F.lit(0)) + 1, F.least(start, F.lit(40)))
+    near = F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
     return F.regexp_replace(F.lower(F.regexp_extract(near, r"([^\x20\x09-\x0D]+[\x20\x09]*(?:[=:][\x20\x09]*[\"']?)?)$", 1)), "[0-9]+", "0")
 
 
 def _after(text: Column, end: Column) -> Column:
     """What follows a position up to the end of the next word, in the same form."""
-    near = F.substring(text, end + 1, F.lit(40))
+    near = F.substring(text, end + 1, F.lit(NEAR))
     return F.regexp_replace(F.lower(F.regexp_extract(near, r"^([\"']?[\x20\x09]*[^\x20\x09-\x0D]*)", 1)), "[0-9]+", "0")
 
 
@@ -125,57 +154,77 @@ def _shape(value: Column) -> Column:
 
 
 def occurrences(spans: DataFrame) -> DataFrame:
-    """Identifier-like words and seeds with their contexts: doc_id, start, end, value, known, kind, and context patterns."""
+    """Seeds and identifier-like words of rows (_row, doc_id, text, base) with their contexts: _row, doc_id, kind (null if not known), base (whether a base pattern found it), start, end, value, and context patterns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.when(text.rlike("[0-9]"), _matches(text, _WORD)).otherwise(F.array().cast("array<struct<start:int, end:int, value:string>>"))
+    words = F.when(text.rlike("[0-9]"), _matches(text, _WORD)).otherwise(F.array().cast(_PLACED))
     free = F.filter(words, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    none = F.lit(None).cast("string")
-    every = F.concat("base", F.transform(free, lambda w: F.struct(none.alias("kind"), w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value"))))
-    rows = spans.select("doc_id", "text", F.explode(every).alias("x"))
+    as_seed = lambda b: F.struct(b["kind"].alias("kind"), F.lit(True).alias("base"), b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"))
+    as_word = lambda w: F.struct(F.when(w["value"].rlike(SECRET), "secret").alias("kind"), F.lit(False).alias("base"), w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value"))
+    rows = spans.select("_row", "doc_id", "text", F.explode(F.concat(F.transform("base", as_seed), F.transform(free, as_word))).alias("x"))
     left, right = _before(text, F.col("x.start")), _after(text, F.col("x.end"))
     contexts = F.filter(F.array(F.concat(F.lit("<"), left), F.concat(F.lit(">"), right), F.concat(F.lit("="), left, F.lit("|"), right)), lambda p: ~p.isin("<", ">", "=|") & ~p.startswith("=|") & ~p.endswith("|"))
-    return rows.select("doc_id", "x.kind", "x.start", "x.end", "x.value", F.col("x.kind").isNotNull().alias("known"), contexts.alias("contexts"))
-
-
-def trusted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns of high confidence and the commonest kind of their seeds: scores go from words to patterns and back."""
-    edges = written(
-        found.select(F.explode("contexts").alias("pattern"), "value", "known")
-        .groupBy("pattern", "value")
-        .agg(F.max("known").alias("known")),
-        8,
-    )
-    kinds = found.where("known").select(F.explode("contexts").alias("pattern"), "kind", "doc_id").groupBy("pattern", "kind").agg(F.count_distinct("doc_id").alias("docs"))
-    seeded = kinds.groupBy("pattern").agg(F.max("docs").alias("seeds"), F.sum("docs").alias("every"), F.max_by("kind", F.struct("docs", "kind")).alias("seed_kind"))
-    good = written(seeded.where((F.col("seeds") >= SUPPORT) & (F.col("seeds") >= KIND_SHARE * F.col("every"))).select("pattern", "seed_kind"), 8)
-    own = written(joined(edges, good, "pattern", "inner"), 8)
-    scores = own.select("pattern", "value", F.col("known").cast("double").alias("score"))
-    confidence = None
-    for _ in range(rounds):
-        confidence = scores.groupBy("pattern").agg(F.avg("score").alias("confidence"))
-        word = own.join(confidence, "pattern").groupBy("value").agg(F.max(F.col("known").cast("int")).alias("known"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("belief"))
-        scores = own.select("pattern", "value").join(word, "value").select("pattern", "value", F.when(F.col("known") == 1, 1.0).otherwise(F.col("belief") * F.lit(0.5)).alias("score"))
-    return written(scores.groupBy("pattern").agg(F.avg("score").alias("confidence")).where(F.col("confidence") >= PATTERN_CONFIDENCE).join(good, "pattern"), 8)
-
-
-def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
-    """doc_id and the spans of unknown words that trusted patterns surround: on one side, if a seed of that kind has the word's form, on both sides whatever its form."""
-    shapes = found.where("known").select(F.col("kind").alias("seed_kind"), _shape(F.col("value")).alias("shape")).distinct()
-    rows = found.where(~F.col("known")).select("doc_id", "start", "end", "value", F.explode("contexts").alias("pattern"))
+    return rows.select("_row", "doc_id", "x.kind", "x.base", "x.start", "x.end", "x.value", contexts.alias("contexts"))
+
+
+def trusted(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(patterns, known): patterns of high confidence with the commonest kind of their known instances, and the values that are known at last with their kinds, promoted ones among them.
+
+    A pattern needs known instances of its commonest kind from SUPPORT documents, and that kind KIND_SHARE of the documents that give it known ones.
+    Its confidence is the mean score of its distinct instances: 1 if known, else the belief of the round before.
+    """
+    edges = written(found.select(F.explode("contexts").alias("pattern"), "value", "kind", "doc_id").groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.approx_count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("docs"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")), 8)
+    known = written(edges.where("kind is not null").groupBy("value").agg(F.max("kind").alias("known_kind")), 8)
+    good = belief = None
+    for turn in range(rounds):
+        own = edges.join(known, "value", "left")
+        if belief is not None:
+            own = own.join(belief.select("value", "belief"), "value", "left")
+        score = F.when(F.col("known_kind").isNotNull(), 1.0).otherwise(F.coalesce("belief", F.lit(0.0)) * 0.5 if belief is not None else 0.0)
+        by_kind = own.groupBy("pattern", "known_kind").agg(F.sum("docs").alias("docs"), _two("a", "b").alias("least"), F.sum(score).alias("score"), F.count("*").alias("n"))
+        seeds = F.when(F.col("known_kind").isNotNull(), F.col("docs"))
+        scored = by_kind.groupBy("pattern").agg(
+            F.sum(seeds).alias("every"), F.max(F.when(F.col("known_kind").isNotNull(), F.struct("docs", "known_kind", "least"))).alias("top"), (F.sum("score") / F.sum("n")).alias("confidence")
+        )
+        good = scored.where((F.col("top.docs") >= SUPPORT) & (F.col("top.docs") >= KIND_SHARE * F.col("every")) & F.col("top.least")).select("pattern", F.col("top.known_kind").alias("seed_kind"), "confidence")
+        good = written(good, 8)
+        if turn == rounds - 1:
+            break
+        joint = joined(edges.select("pattern", "value"), good, "pattern", "inner")
+        belief = written(joint.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("belief"), F.max_by("seed_kind", F.struct("confidence", "seed_kind")).alias("promoted")), 8)
+        both = known.select("value", F.col("known_kind").alias("own"), F.lit(None).cast("string").alias("promoted")).unionByName(belief.where(F.col("belief") >= PROMOTION).select("value", F.lit(None).cast("string").alias("own"), "promoted"))
+        known = written(both.groupBy("value").agg(F.coalesce(F.max("own"), F.max("promoted")).alias("known_kind")), 8)
+    return written(good.where(F.col("confidence") >= PATTERN_CONFIDENCE), 8), known
+
+
+def _two(a: str, b: str) -> Column:
+    """Whether instances come from more documents than one."""
+    return F.coalesce(F.min(a) < F.max(b), F.lit(False))
+
+
+def discovered(found: DataFrame, patterns: DataFrame, known: DataFrame) -> DataFrame:
+    """_row and the spans of words that trusted patterns surround: on one side, if a known instance of that kind has the word's form, on both sides whatever its form."""
+    kinds = known.select(F.col("known_kind").alias("seed_kind"), _shape(F.col("value")).alias("shape")).distinct()
+    rows = found.where(~F.col("base")).select("_row", "start", "end", "value", F.explode("contexts").alias("pattern"))
     near = joined(rows, patterns, "pattern", "inner").withColumn("shape", _shape(F.col("value")))
-    sure = near.join(shapes.withColumn("like", F.lit(1)), ["seed_kind", "shape"], "left")
+    sure = near.join(kinds.withColumn("like", F.lit(1)), ["seed_kind", "shape"], "left")
     belief = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence") * F.when(F.col("like") == 1, 1.0).when(F.col("pattern").startswith("="), 0.9).otherwise(0.0), F.lit(1e-9)))))
-    each = sure.groupBy("doc_id", "start", "end", "value").agg(belief.alias("belief"), F.max_by("seed_kind", F.struct("confidence", "seed_kind")).alias("kind")).where(F.col("belief") >= WORD_CONFIDENCE)
-    return each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("more"))
+    each = sure.groupBy("_row", "start", "end", "value").agg(belief.alias("belief"), F.max_by("seed_kind", F.struct("confidence", "seed_kind")).alias("kind")).where(F.col("belief") >= WORD_CONFIDENCE)
+    # quotes and marks around an identifier are not part of it
+    bare = F.regexp_extract("value", r"^[\"'(\[<]*(.*?)[\"'()\[\]<>,.;:!?*#%$&]*$", 1)
+    skipped = F.length(F.regexp_extract("value", r"^[\"'(\[<]*", 0))
+    inner = each.withColumn("start", F.col("start") + skipped).withColumn("value", bare).where("length(value) > 0").withColumn("end", F.col("start") + F.length("value"))
+    return inner.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("more"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """docs with `base` spans and `more`, the discovered ones (kind, start, end, value)."""
-    marked = base_spans(docs)
-    graph = written(occurrences(marked.select("doc_id", "text", "base")))
-    more = written(discovered(graph, trusted(graph)), 8)
-    out = joined(marked, more.withColumnRenamed("doc_id", "more_id"), F.col("doc_id").eqNullSafe(F.col("more_id")), "left").drop("more_id")
-    return out.withColumn("more", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))
+    """docs with `base` spans and `more`, the discovered ones (kind, start, end, value). Rows are numbered and written with their base spans once."""
+    marked = written(base_spans(docs).withColumn("_row", F.monotonically_increasing_id()))
+    graph = written(occurrences(marked.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text", "base")))
+    more = written(discovered(graph, *trusted(graph)), 8)
+    none = F.array().cast(f"array<{SPAN}>")
+    likely, others = split_by_ids(marked, more, "_row")
+    out = joined(likely, more, "_row", "left").withColumn("more", F.coalesce("more", none)).unionByName(others.withColumn("more", none))
+    return out.drop("_row")
 
 
 def _joint(spans: Column) -> Column:
@@ -184,13 +233,13 @@ def _joint(spans: Column) -> Column:
 
 def _ordered(spans: Column) -> Column:
     """By kind as listed, then start and end."""
-    rank = lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+    rank = lambda x: F.struct(F.array_position(F.array(*map(F.lit, ALL_KINDS)), x["kind"]).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
     return F.array_sort(F.array_distinct(F.transform(spans, rank)))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets (overlapping spans by the first one's), n_chars renewed, their own columns."""
-    own = {"base", "more", "more_id", "_new", *(f"_{kind}" for kind in KINDS)}
+    own = {"base", "more", "_row", "_new", *(f"_{kind}" for kind in KINDS)}
     aside = {c: f"{c}__aside" for c in docs.columns if c.lower() in own}
     found = personal_data(docs.withColumnsRenamed(aside))
     spans = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
@@ -205,9 +254,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     new = F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     changed = F.when(F.size("base") + F.size("more") > 0, new).otherwise(F.col("text"))
     out = found.withColumn("_new", changed)
-    size = F.length("_new").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    new_columns = {"text": F.col("_new").alias("text"), "n_chars": size}
-    return out.select(*(new_columns[c].alias(c) if c in new_columns else F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+    # names are compared without case, as Spark does
+    new_columns = {"text": lambda kind: F.col("_new").cast(kind), "n_chars": lambda kind: F.length("_new").cast(kind)}
+    return out.select(*(new_columns[f.name.lower()](f.dataType).alias(f.name) if f.name.lower() in new_columns else F.col(f"`{aside.get(f.name, f.name)}`").alias(f.name) for f in docs.schema.fields))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
