@@ -44,7 +44,7 @@ from clickloom.llm.common import in_arrow, without_gc, written
 #: Bounds of the training sample, in documents.
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
 #: Sentences of either class for the first fit, about.
-MAX_SENTENCES = 20_000
+MAX_SENTENCES = 12_000
 #: Words of either class that landmarks are chosen from.
 CANDIDATES = 2_000
 LANDMARKS, CLEAN_LANDMARKS = 224, 32
@@ -60,7 +60,7 @@ TOP = 3
 PIECE = 10
 #: Longer tokens are read in windows of this many characters.
 LONG = 24
-TABLE_WORDS = 300_000
+TABLE_WORDS = 800_000
 
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -83,11 +83,12 @@ def units(token: str) -> list[str]:
 def pieces(text: str | None) -> Iterator[list[str]]:
     """The tokens of each sentence, or piece of one; a run of three single characters or more is one token besides. A very long token's windows make pieces of their own."""
     low = (text or "").lower()
+    spaced = _SINGLES.search(low) is not None
     for sentence in _SENTENCE.split(low):
         own = sentence.split()
         if not own:
             continue
-        if len(own) > 2:
+        if spaced:
             own += ["".join(x.split()) for x in _SINGLES.findall(sentence)]
         long = [t for t in own if len(t) > 2 * LONG]
         if long:
