@@ -39,9 +39,9 @@ PATTERNS = {
 #: What a text must hold for a pattern to match at all.
 _NEEDS = {"email": ("@",), "ip": (".",), "card": (), "phone": ("+",)}
 
-#: Rounds of scoring, documents a pattern needs seeds from, and the confidences at which a pattern and a word are taken.
+#: Rounds of scoring, known instances that a pattern needs (see trusted), and the confidences at which a pattern and a word are taken.
 ROUNDS, SUPPORT, PATTERN_CONFIDENCE, WORD_CONFIDENCE = 3, 3, 0.8, 0.75
-#: Share of the documents with seeds in a pattern, summed over kinds, that its commonest kind needs.
+#: Share of a pattern's known instances that its commonest kind needs.
 KIND_SHARE = 0.8
 #: Belief at which an instance counts as known in the next round.
 PROMOTION = 0.95
@@ -169,8 +169,8 @@ def occurrences(spans: DataFrame) -> DataFrame:
 def trusted(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(patterns, known): patterns of high confidence with the commonest kind of their known instances, and the values that are known at last with their kinds, promoted ones among them.
 
-    A pattern needs known instances of its commonest kind from SUPPORT documents, and that kind KIND_SHARE of the documents that give it known ones.
-    Its confidence is the mean score of its distinct instances: 1 if known, else the belief of the round before.
+    A pattern needs SUPPORT known instances of its commonest kind, an instance counted once for each document, in two documents at least; and that kind
+    must have KIND_SHARE of all its known instances. Its confidence is the mean score of its distinct instances: 1 if known, else the belief of the round before.
     """
     edges = written(found.select(F.explode("contexts").alias("pattern"), "value", "kind", "doc_id").groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.approx_count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("docs"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")), 8)
     known = written(edges.where("kind is not null").groupBy("value").agg(F.max("kind").alias("known_kind")), 8)

@@ -68,6 +68,50 @@ def test_kinds_and_documents_of_a_pattern(spark):
     assert not any(more.values())  # kinds in like shares; seeds of one document
 
 
+def test_positions_of_very_many_matches(spark):
+    texts = ["a@b.cc " * n + "x" for n in (personal_data.BLOCK - 1, personal_data.BLOCK, personal_data.BLOCK + 1, 5 * personal_data.BLOCK, 3_000)]
+    for r in personal_data.base_spans(helpers.frame(spark, texts)).select("doc_id", "base").collect():
+        assert [(x.kind, x.start, x.end) for x in r.base] == spans(texts[r.doc_id])
+
+
+def hexadecimal(k):
+    return hashlib.sha1(str(k).encode()).hexdigest()
+
+
+def test_secrets_and_promoted_instances(spark):
+    texts = [f"Line {chr(97 + i)} token = \"{hexadecimal(i)}\" set by hand{i}x" for i in range(8)]
+    texts += [f"Line {chr(97 + i)} commit {hexadecimal(50 + i)} of {chr(110 + i)}" for i in range(2)]  # such a look, but no pattern
+    texts += ['Then token = "s3cr3t-key-001" was sent', 'Then token = "s3cr3t-key-002" was sent', 'Then token = "s3cr3t-key-003" was sent', "was s3cr3t-key-004 sent"]
+    found = {r.doc_id: [(x.kind, texts[r.doc_id][x.start : x.end]) for x in r.more] for r in personal_data.personal_data(helpers.frame(spark, texts)).collect()}
+    assert all(found[i] == [("secret", hexadecimal(i))] for i in range(8))  # without their quotes
+    assert not found[8] and not found[9] and not found[13]
+    clean = {r.doc_id: r.text for r in personal_data.redacted(helpers.frame(spark, texts)).collect()}
+    assert clean[0] == 'Line a token = "<secret>" set by hand0x' and clean[8] == texts[8]
+
+
+def test_secrets_of_the_table(spark):
+    """All words that look like a secret after `token =`, and nothing else that the tables' texts have."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    right = found = 0
+    planted = {}
+    for doc_id, text in duckdb.sql(f"select doc_id, text from '{DATA}/sf0.01/documents.parquet'").fetchall():
+        planted[doc_id] = {(m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', text or "")}
+    for r in personal_data.personal_data(docs).select("doc_id", "more").collect():
+        own = {(x.start, x.end) for x in r.more if x.kind == "secret"}
+        found += len(own)
+        right += len(own & planted[r.doc_id])
+    assert right == found > 0 and right >= 0.9 * sum(map(len, planted.values()))
+
+
+def test_rows_of_one_id_and_columns_of_any_name(spark):
+    text = "Mail a@b.cc now"
+    docs = spark.createDataFrame([(1, text, 15, "p"), (1, "none", 4, "q"), (None, text, 15, "r"), (None, "x 10.0.0.1", 10, "s")], "doc_id long, TEXT string, N_CHARS int, base string")
+    out = personal_data.redacted(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} == {(1, "Mail <email> now", 16, "p"), (1, "none", 4, "q"), (None, "Mail <email> now", 16, "r"), (None, "x <ip>", 6, "s")}
+    assert personal_data.redacted(docs.limit(0)).count() == 0
+
+
 def test_query(spark):
     got = {r.doc_id: r for r in personal_data.query(spark, f"{DATA}/sf0.001").collect()}
     for doc_id, text in duckdb.sql(f"select doc_id, text from '{DATA}/sf0.001/documents.parquet'").fetchall():
