@@ -54,6 +54,8 @@ RIDGE = 1e-3
 DECAY, SPAN = 0.7, 8
 #: Fits after the first one.
 ROUNDS = 3
+#: Decision below which a clean sentence is let go from the next fit.
+SURE = -1.1
 #: Highest sentences that a document is judged by.
 TOP = 3
 #: Words in a piece of a sentence at most.
@@ -305,15 +307,18 @@ def projection(kernel: Kernel, landmarks: list[str]) -> np.ndarray:
     return vectors[:, whole] / np.sqrt(values[whole])
 
 
-def fit(kernel: Kernel, root: np.ndarray, near: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> Machine:
-    """A linear squared-hinge machine on projected images, by Newton's method with halved steps; both classes weigh the same. Sums run over blocks of rows."""
+def fit(kernel: Kernel, root: np.ndarray, near: np.ndarray, labels: np.ndarray, weight: np.ndarray, let_go: float = 0.0) -> Machine:
+    """A linear squared-hinge machine on projected images, by Newton's method with halved steps; both classes weigh the same. Sums run over blocks of rows.
+
+    let_go: weight of clean rows that are not here, as they cost nothing.
+    """
     blocks = [slice(at, at + 4_096) for at in range(0, len(near), 4_096)]
     x = np.empty((len(near), root.shape[1] + 1), np.float32)
     for own in blocks:
         x[own, :-1] = near[own] @ root
     x[:, -1] = 1
     y = np.where(labels, 1.0, -1.0)
-    cost = np.where(labels, 0.5 / max(1e-12, weight[labels].sum()), 0.5 / max(1e-12, weight[~labels].sum())) * weight
+    cost = np.where(labels, 0.5 / max(1e-12, weight[labels].sum()), 0.5 / max(1e-12, weight[~labels].sum() + let_go)) * weight
     penalty = np.append(np.full(x.shape[1] - 1, RIDGE), 1e-9)
 
     def decisions(w: np.ndarray) -> np.ndarray:
@@ -382,16 +387,21 @@ def trained(toxic_words: dict[str, float], clean_words: list[str], sentences, do
     root = projection(kernel, landmarks)
     near, labels, weight = sentences(kernel)
     machine = fit(kernel, root, near, labels, weight)
-    clean, clean_weight = near[~labels], weight[~labels]
+    clean, clean_weight, let_go = near[~labels], weight[~labels], 0.0
+    del near
     for turn in range(ROUNDS + 1):
         top, toxic, best, of = documents(machine, kernel)
         if turn == ROUNDS:
             break
         # highest sentences of clean documents join all that were met before; a toxic document is the sentences that are highest now
         bad = toxic[of]
+        # sentences that the machine is sure of cost nothing: only their weight is kept
+        hard = clean @ machine.beta + machine.bias > SURE
+        clean, clean_weight, let_go = clean[hard], clean_weight[hard], let_go + float(clean_weight[~hard].sum())
         clean, clean_weight = np.vstack([clean, best[~bad]]), np.append(clean_weight, np.ones(int((~bad).sum())))
         own = np.vstack([best[bad], clean])
-        machine = fit(kernel, root, own, np.arange(len(own)) < bad.sum(), np.append(1 / np.bincount(of)[of[bad]], clean_weight))
+        machine = fit(kernel, root, own, np.arange(len(own)) < bad.sum(), np.append(1 / np.bincount(of)[of[bad]], clean_weight), let_go)
+        del own
     # a respelled document is as toxic as the one that it copies
     again = best @ machine.beta + machine.bias
     copies = [np.sort(own[len(own) // 2 :])[::-1][:TOP] for own in (again[of == k] for k in np.flatnonzero(toxic))]
