@@ -105,6 +105,20 @@ def test_full_tables_start_again_with_all_that_belongs_to_them(monkeypatch):
         assert len(table.odd) < 2_000
 
 
+def test_words_that_move_between_tables(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_shards, "TABLE_WORDS", 40)
+    monkeypatch.setattr(token_shards, "TABLE_RUNS", 15)
+    tokenizer, encoder = Tokenizer.from_file(token_shards.default_tokenizer()), token_shards.Encoder(token_shards.default_tokenizer())
+    texts = [t or "" for _, t in documents()][:120] + random_texts(500)
+    for at in range(0, len(texts), 10):
+        own = texts[at : at + 10]
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in own]
+        assert [np.frombuffer(x, "<u4").tolist()[:-1] for x in encoder.encode([token_shards.words_of(t, encoder.added) for t in own])] == want
+        assert encoder.count(own) == [len(x) for x in want]
+
+
 def twins():
     """Two words of 1,024 letters that every polynomial hash modulo 2**64 with an odd base takes for one."""
     a = "a"

@@ -95,7 +95,7 @@ def test_secrets_of_the_table(spark):
     right = found = 0
     planted = {}
     for doc_id, text in duckdb.sql(f"select doc_id, text from '{DATA}/sf0.01/documents.parquet'").fetchall():
-        planted[doc_id] = {(m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', text or "")}
+        planted[doc_id] = {(m.start(1), m.end(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', text or "")}
     for r in personal_data.personal_data(docs).select("doc_id", "more").collect():
         own = {(x.start, x.end) for x in r.more if x.kind == "secret"}
         found += len(own)
