@@ -59,12 +59,17 @@ SPAN = "struct<kind:string, start:int, end:int, value:string>"
 _PLACED = "array<struct<start:int, end:int, value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once: what a lambda refers to by an expression would be worked out again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Structs (start, end, value) of all matches of a pattern, in order."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.transform(found, lambda value, k: F.struct(F.get(gaps, k).alias("gap"), value.alias("value")))
-    return F.when(F.size(pairs) <= BLOCK, _placed(pairs, F.lit(0))).otherwise(_in_blocks(pairs))
+    pairs = _let(found, lambda values: F.arrays_zip(F.slice(gaps, F.lit(1), F.size(values)).alias("gap"), values.alias("value")))
+    return _let(pairs, lambda own: F.when(F.size(own) <= BLOCK, _placed(own, F.lit(0))).otherwise(_in_blocks(own)))
 
 
 def _placed(pairs: Column, first: Column) -> Column:
@@ -82,9 +87,13 @@ def _placed(pairs: Column, first: Column) -> Column:
 def _in_blocks(pairs: Column) -> Column:
     numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
     blocks = F.transform(numbers, lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)))
-    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + y["gap"] + F.length(y["value"])))
-    starts = F.aggregate(sums, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
-    return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), F.slice(starts, F.lit(1), F.size(blocks)).alias("first")), lambda x: _placed(x["block"], x["first"])))
+
+    def place(own: Column) -> Column:
+        sums = F.transform(own, lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + y["gap"] + F.length(y["value"])))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return _let(starts, lambda firsts: F.flatten(F.transform(own, lambda x, k: _placed(x, F.get(firsts, k)))))
+
+    return _let(blocks, place)
 
 
 def _digits(value: Column) -> Column:
