@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import sentencepiece_bpe, token_shards
-from clickloom.llm.common import in_arrow, shared_dir, written
+from clickloom.llm.common import held, in_arrow, shared_dir, written
 
 KEYS = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -101,9 +101,21 @@ class Rollup:
                 self._files.delete(self._path(f"{self.folder}/deltas/{old}"), True)
 
 
+class Pieces:
+    """Numbers of ids by the sentencepiece library, which counts whole texts faster than op1's tables, where no ids are asked for."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        return [len(ids) for ids in self.library.encode([t or "" for t in texts], num_threads=1)]
+
+
 #: Tokenizer versions: what counts a batch of texts, from the tokenizer's file, and the kind of table that it holds.
 VERSIONS = {
-    "piece_bpe_32k": ("sentencepiece", lambda: sentencepiece_bpe.default_model(), lambda path: sentencepiece_bpe.table_for(path)),
+    "piece_bpe_32k": ("pieces", lambda: sentencepiece_bpe.default_model(), lambda path: held("pieces", path, lambda: Pieces(path))),
     "word_bpe_49k": ("tokenizer", lambda: token_shards.default_tokenizer(), lambda path: token_shards.encoder_for(path)),
 }
 
