@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import duckdb
 
@@ -30,10 +31,12 @@ def test_stages_do_what_they_say(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.default_model())
     for i in left:
         assert rows[i].n_tokens == len(rows[i].ids) and rows[i].ids_sha256 == hashlib.sha256(",".join(map(str, rows[i].ids)).encode()).hexdigest()
-        if not spans(texts[i]):
+        secret = re.search(r'(?i)token = "[0-9a-f]{40}"', texts[i] or "")
+        if not spans(texts[i]) and not secret:
             assert rows[i].ids == library.encode(texts[i])
-        else:
-            assert not spans(library.decode(rows[i].ids))
+        else:  # identifiers are masked, discovered secrets too
+            decoded = library.decode(rows[i].ids)
+            assert not spans(decoded) and not re.search(r'(?i)token = "[0-9a-f]{40}"', decoded)
 
 
 def test_odd_tables(spark):
