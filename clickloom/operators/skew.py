@@ -16,10 +16,10 @@ def salted_count(df: DataFrame, keys: list[str], salts: int = 10, name: str = "n
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 10) -> DataFrame:
-    """Inner join in which every row of right meets each salt of left."""
+    """Inner join in which every row of right meets each salt of left; both sides are shuffled, since Spark's size estimate leaves the copies out and would broadcast them all."""
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
+    return salted.join(copies.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def heavy_keys(df: DataFrame, key: str, fraction: float = 0.1, n: int = 1, seed: int = 9) -> DataFrame:

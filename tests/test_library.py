@@ -102,6 +102,14 @@ def test_salted_forms_equal_plain_ones(spark):
     assert skew.heavy_keys(left, "k").first().k == 7
 
 
+def test_salted_copies_are_never_broadcast(spark):
+    left, right = spark.range(5000).select((F.col("id") % 50).alias("k"), "id"), spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = skew.salted_join(left, right, "k")
+    assert joined.count() == 4000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_parameters_and_tasks(spark):
     text = json.dumps({"startDate": ["2024-01-02"], "startAge": ["10"], "endAge": ["50"], "professionals": ["a,b"], "keywords": [], "targetPageFlow": ["3,5,2"], "sex": ["male"]})
     tasks = spark.createDataFrame([(1, text)], "task_id long, params string")
