@@ -290,14 +290,21 @@ def respelled(sentence: list[str]) -> list[str]:
     return out
 
 
-def standing(kernel: Kernel, top: np.ndarray, best: list[list[list[str]]], toxic: list[bool]) -> list[np.ndarray]:
-    """For each document, images of the sentences that stand for it, and of their respelled copies."""
+def projected(kernel: Kernel, root: np.ndarray, sentences: list[list[str]]) -> np.ndarray:
+    """Projected images of sentences, and a 1 for the bias."""
+    out = np.ones((len(sentences), root.shape[1] + 1), np.float32)
+    out[:, :-1] = images(kernel, sentences) @ root
+    return out
+
+
+def standing(kernel: Kernel, root: np.ndarray, top: np.ndarray, best: list[list[list[str]]], toxic: list[bool]) -> list[np.ndarray]:
+    """For each document, projected images of the sentences that stand for it, and of their respelled copies."""
     sentences, sizes = [], []
     for own_top, own_best, bad in zip(top, best, toxic, strict=True):
         own = [s for k, s in enumerate(own_best) if k == 0 or bad and own_top[k] > 0] or [[]]
         sentences += own + [respelled(s) for s in own]
         sizes.append(2 * len(own))
-    return np.split(images(kernel, sentences), np.cumsum(sizes)[:-1])
+    return np.split(projected(kernel, root, sentences), np.cumsum(sizes)[:-1])
 
 
 def projection(kernel: Kernel, landmarks: list[str]) -> np.ndarray:
@@ -307,33 +314,31 @@ def projection(kernel: Kernel, landmarks: list[str]) -> np.ndarray:
     return vectors[:, whole] / np.sqrt(values[whole])
 
 
-def fit(kernel: Kernel, root: np.ndarray, near: np.ndarray, labels: np.ndarray, weight: np.ndarray, let_go: float = 0.0) -> Machine:
-    """A linear squared-hinge machine on projected images, by Newton's method with halved steps; both classes weigh the same. Sums run over blocks of rows.
+def fit(kernel: Kernel, root: np.ndarray, parts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, let_go: float = 0.0) -> tuple[Machine, np.ndarray]:
+    """A linear squared-hinge machine on projected images and its weights for them, by Newton's method with halved steps; both classes weigh the same.
 
-    let_go: weight of clean rows that are not here, as they cost nothing.
+    parts: the rows, in several arrays that are never joined; sums run over blocks of them. let_go: weight of clean rows that are not here, as they cost nothing.
     """
-    blocks = [slice(at, at + 4_096) for at in range(0, len(near), 4_096)]
-    x = np.empty((len(near), root.shape[1] + 1), np.float32)
-    for own in blocks:
-        x[own, :-1] = near[own] @ root
-    x[:, -1] = 1
+    rows = [part[at : at + 4_096] for part in parts for at in range(0, len(part), 4_096)]
+    ends = np.cumsum([len(x) for x in rows])
+    blocks = [(x, slice(end - len(x), end)) for x, end in zip(rows, ends.tolist(), strict=True)]
     y = np.where(labels, 1.0, -1.0)
     cost = np.where(labels, 0.5 / max(1e-12, weight[labels].sum()), 0.5 / max(1e-12, weight[~labels].sum() + let_go)) * weight
-    penalty = np.append(np.full(x.shape[1] - 1, RIDGE), 1e-9)
+    penalty = np.append(np.full(root.shape[1], RIDGE), 1e-9)
 
     def decisions(w: np.ndarray) -> np.ndarray:
-        return np.concatenate([x[own] @ w for own in blocks])
+        return np.concatenate([x @ w for x in rows])
 
     def loss(w: np.ndarray) -> float:
         return float((cost * np.maximum(0, 1 - y * decisions(w)) ** 2).sum() + (penalty * w * w).sum())
 
-    w = np.zeros(x.shape[1])
+    w = np.zeros(len(penalty))
     now = loss(w)
     for _ in range(60):
         active = y * decisions(w) < 1
         left, right = np.diag(penalty), np.zeros(len(w))
-        for own in blocks:
-            a = x[own][active[own]].astype(float)
+        for x, own in blocks:
+            a = x[active[own]].astype(float)
             weighed = a * cost[own][active[own]][:, None]
             left += weighed.T @ a
             right += weighed.T @ y[own][active[own]]
@@ -344,7 +349,7 @@ def fit(kernel: Kernel, root: np.ndarray, near: np.ndarray, labels: np.ndarray,
         w, gain, now = w + step * (target - w), now - then, min(now, then)
         if gain < 1e-9:
             break
-    return Machine(kernel, root @ w[:-1], float(w[-1]))
+    return Machine(kernel, root @ w[:-1], float(w[-1])), w
 
 
 def covering(words: list[str], weight: np.ndarray, n: int) -> list[str]:
@@ -377,34 +382,35 @@ def _curve(top: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def trained(toxic_words: dict[str, float], clean_words: list[str], sentences, documents) -> Machine:
-    """First fit on sentences(kernel), then ROUNDS on the highest sentences that documents(machine, kernel) finds, and the curve.
+    """First fit on sentences(kernel, root), then ROUNDS on the highest sentences that documents(machine, root) finds, and the curve.
 
-    sentences: images, labels and weights of sentences. documents: top scores, labels, images of the highest sentences and of their respelled copies, and the document of each.
+    sentences: projected images of toxic and of clean sentences, and the weights of both. documents: top scores, labels, projected images of the
+    highest sentences and of their respelled copies, of toxic documents and of clean ones, and the document of each toxic image among the toxic ones.
+    Images are held once: parts of the clean ones are kept apart and only thinned out.
     """
     landmarks = covering(list(toxic_words), np.array(list(toxic_words.values())), LANDMARKS - CLEAN_LANDMARKS)
     landmarks += [w for w in clean_words if w not in set(landmarks)][:CLEAN_LANDMARKS]
     kernel = Kernel(landmarks)
     root = projection(kernel, landmarks)
-    near, labels, weight = sentences(kernel)
-    machine = fit(kernel, root, near, labels, weight)
-    clean, clean_weight, let_go = near[~labels], weight[~labels], 0.0
-    del near
+    bad, own, bad_weight, own_weight = sentences(kernel, root)
+    clean, let_go = [(own, own_weight)], 0.0
+    del own, own_weight
     for turn in range(ROUNDS + 1):
-        top, toxic, best, of = documents(machine, kernel)
-        if turn == ROUNDS:
-            break
-        # highest sentences of clean documents join all that were met before; a toxic document is the sentences that are highest now
-        bad = toxic[of]
+        weight = np.concatenate([bad_weight, *(x for _, x in clean)])
+        machine, w = fit(kernel, root, [bad, *(x for x, _ in clean)], np.arange(len(weight)) < len(bad), weight, let_go)
         # sentences that the machine is sure of cost nothing: only their weight is kept
-        hard = clean @ machine.beta + machine.bias > SURE
-        clean, clean_weight, let_go = clean[hard], clean_weight[hard], let_go + float(clean_weight[~hard].sum())
-        clean, clean_weight = np.vstack([clean, best[~bad]]), np.append(clean_weight, np.ones(int((~bad).sum())))
-        own = np.vstack([best[bad], clean])
-        machine = fit(kernel, root, own, np.arange(len(own)) < bad.sum(), np.append(1 / np.bincount(of)[of[bad]], clean_weight), let_go)
-        del own
+        for k, (own, own_weight) in enumerate(clean):
+            hard = own @ w > SURE
+            clean[k], let_go = (own[hard], own_weight[hard]), let_go + float(own_weight[~hard].sum())
+        bad = own = None  # else kept while the next ones come
+        # highest sentences of clean documents join all that were met before; a toxic document is the sentences that are highest now
+        top, toxic, bad, more, of = documents(machine, root)
+        clean.append((more, np.ones(len(more))))
+        bad_weight = 1 / np.bincount(of)[of]
+        del more
     # a respelled document is as toxic as the one that it copies
-    again = best @ machine.beta + machine.bias
-    copies = [np.sort(own[len(own) // 2 :])[::-1][:TOP] for own in (again[of == k] for k in np.flatnonzero(toxic))]
+    again = bad @ w
+    copies = [np.sort(own[len(own) // 2 :])[::-1][:TOP] for own in (again[of == k] for k in range(int(toxic.sum())))]
     respelled_top = np.array([np.append(x, np.full(TOP - len(x), machine.bias)) for x in copies]).reshape(-1, TOP)
     machine.curve = _curve(np.vstack([top, respelled_top]), np.append(toxic, np.ones(len(respelled_top), bool)))
     return machine
@@ -444,9 +450,6 @@ def _words_by_class(rows: DataFrame, prior: float) -> tuple[dict[str, float], li
     return {r.word: r.gain for r in toxic}, [r.word for r in clean]
 
 
-_IMAGES = "toxic int, weight double, image binary"
-
-
 def fitted(docs: DataFrame, labels: DataFrame) -> Machine | float:
     """A machine learned from the labelled documents that are not held out; a base rate where they show nothing to learn."""
     rows = training_rows(docs, labels)
@@ -461,8 +464,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Machine | float:
     # sentences have some 60 characters; of each document an even share is taken, one at least
     share = {k: min(1.0, MAX_SENTENCES * 60 / max(1, v)) for k, v in sizes.items()}
 
-    def sentences(kernel: Kernel):
-        shared = context.broadcast(kernel)
+    def sentences(kernel: Kernel, root: np.ndarray):
+        shared = context.broadcast((kernel, root))
 
         def run(batches):
             for batch in batches:
@@ -474,44 +477,39 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Machine | float:
                     own += picked
                     toxic += [label] * len(picked)
                     weight += [1 / len(picked)] * len(picked) if picked else []
-                yield _arrow_images(images(shared.value, own), toxic, weight)
+                near = [x.tobytes() for x in projected(*shared.value, own)]
+                yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(weight, pa.float64()), pa.array(near, pa.binary())], names=["toxic", "weight", "image"])
 
-        near, toxic, weight = _collected(in_arrow(rows.select("text", "toxic"), run, _IMAGES), kernel.table.shape[1])
-        return near, toxic, weight
+        got = in_arrow(rows.select("text", "toxic"), run, "toxic int, weight double, image binary").toArrow()  # about twice MAX_SENTENCES and a row for each document of the sample at most
+        shared.destroy()
+        toxic, weight = got["toxic"].to_numpy() == 1, got["weight"].to_numpy()
+        return *_floats(got["image"], root.shape[1] + 1, toxic), weight[toxic], weight[~toxic]
 
-    def documents(machine: Machine, kernel: Kernel):
-        shared = context.broadcast(machine)
+    def documents(machine: Machine, root: np.ndarray):
+        shared = context.broadcast((machine, root))
 
         def run(batches):
             for batch in batches:
-                own = shared.value
+                own, root = shared.value
                 top, best = own.top(batch.column(0).to_pylist())
-                near = [x.tobytes() for x in standing(own.kernel, top, best, [x == 1 for x in batch.column(1).to_pylist()])]
+                near = [x.tobytes() for x in standing(own.kernel, root, top, best, [x == 1 for x in batch.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([pa.array(top.tolist(), pa.list_(pa.float64())), batch.column(1), pa.array(near, pa.binary())], names=["top", "toxic", "images"])
 
         got = in_arrow(rows.select("text", "toxic"), run, "top array<double>, toxic int, images binary").toArrow()  # a row for each document of the bounded sample
-        sizes = pc.binary_length(got["images"]).to_numpy() // (4 * len(machine.beta))
-        return np.array(got["top"].to_pylist()), got["toxic"].to_numpy() == 1, _floats(got["images"], len(machine.beta)), np.repeat(np.arange(len(sizes)), sizes)
+        shared.destroy()
+        toxic = got["toxic"].to_numpy() == 1
+        sizes = pc.binary_length(got["images"]).to_numpy()[toxic] // (4 * (root.shape[1] + 1))
+        return np.array(got["top"].to_pylist()), toxic, *_floats(got["images"], root.shape[1] + 1, toxic), np.repeat(np.arange(len(sizes)), sizes)
 
     return trained(toxic_words, clean_words, sentences, documents)
 
 
-def _arrow_images(near: np.ndarray, toxic: list[int], weight: list[float]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(weight, pa.float64()), pa.array([x.tobytes() for x in near], pa.binary())], names=["toxic", "weight", "image"])
-
-
-def _collected(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Images, labels and weights on the driver: about twice MAX_SENTENCES and a row for each document of the sample at most."""
-    got = rows.toArrow()
-    return _floats(got["image"], width), got["toxic"].to_numpy() == 1, got["weight"].to_numpy()
-
-
-def _floats(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of so many numbers from serialized ones."""
-    parts = [np.zeros((0, width), np.float32)]
-    for chunk in column.chunks:
-        parts += [np.frombuffer(x, np.float32).reshape(-1, width) for x in (v.as_buffer() for v in chunk)]
-    return np.vstack(parts)
+def _floats(column: pa.ChunkedArray, width: int, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of so many numbers from serialized ones, toxic ones and others."""
+    parts = [np.zeros((0, width), np.float32)], [np.zeros((0, width), np.float32)]
+    for bad, x in zip(toxic.tolist(), (v.as_buffer() for chunk in column.chunks for v in chunk), strict=True):
+        parts[not bad].append(np.frombuffer(x, np.float32).reshape(-1, width))
+    return np.vstack(parts[0]), np.vstack(parts[1])
 
 
 def scored(docs: DataFrame, machine: Machine | float) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -79,6 +80,20 @@ def test_kernel_equals_brute_force():
     assert np.allclose(toxicity.images(own, sentences), [own.image(["idiot"])[0] + own.image(["zebra"])[0], [0] * 6, own.image(["ana"])[0]], atol=1e-5)
 
 
+def test_a_fit_holds_its_rows_once():
+    rng, marks = np.random.default_rng(1), ["idiot", "clown", "trash"]
+    kernel, root = toxicity.Kernel(marks), np.eye(3, 64)
+    parts = [np.hstack([rng.normal(size=(n, 64)).astype(np.float32), np.ones((n, 1), np.float32)]) for n in (30_000, 70_000)]
+    labels = np.arange(100_000) < 30_000
+    parts[0][:, 0] += 3
+    tracemalloc.start()
+    machine, w = toxicity.fit(kernel, root, parts, labels, np.ones(100_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.7 * sum(x.nbytes for x in parts)
+    assert ((parts[0] @ w > 0).mean() > 0.9 < (parts[1] @ w < 0).mean()) and np.allclose(machine.beta, root @ w[:-1], atol=1e-6) and machine.bias == w[-1]
+
+
 def test_pieces_hold_every_word():
     rng = random.Random(1)
     for _ in range(50):
