@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -67,17 +68,21 @@ TABLE_WORDS = 800_000
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 _SINGLES = re.compile(r"(?:(?<=\s)|^)(?:[^\W_]\s+){2,}[^\W_](?=\s|$)")
-_SENTENCE = re.compile(r"(?<=[.!?])\s|\n")
+#: What every run of single characters holds; it begins with a set of characters, which is found much faster.
+_PAIR = re.compile(r"\s[^\W_]\s+[^\W_](?:\s|$)")
+#: White space after an end mark, and new lines; it begins with a set of characters too.
+_SENTENCE = re.compile(r"\s(?:(?<=[.!?]\s)|(?<=\n))")
 
 
 def units(token: str) -> list[str]:
     """The words that a lower-case token is read as."""
-    word = _OUTER.sub("", token)
-    if not word:
-        return []
+    word = token.strip(string.punctuation)
+    if not word.isalnum():
+        word = _OUTER.sub("", word)
+        if not word:
+            return []
     out = [word]
-    bare = _INNER.sub("", word)
-    if bare != word and bare:
+    if not word.isalnum() and (bare := _INNER.sub("", word)):
         out.append(bare)
     return [x for w in out for x in ([w] if len(w) <= LONG else [w[i : i + LONG] for i in range(0, len(w) - LONG // 2, LONG // 2)])]
 
@@ -85,15 +90,15 @@ def units(token: str) -> list[str]:
 def pieces(text: str | None) -> Iterator[list[str]]:
     """The tokens of each sentence, or piece of one; a run of three single characters or more is one token besides. A very long token's windows make pieces of their own."""
     low = (text or "").lower()
-    spaced = _SINGLES.search(low) is not None
+    spaced = _PAIR.search(low) is not None and _SINGLES.search(low) is not None
     for sentence in _SENTENCE.split(low):
         own = sentence.split()
         if not own:
             continue
         if spaced:
             own += ["".join(x.split()) for x in _SINGLES.findall(sentence)]
-        long = [t for t in own if len(t) > 2 * LONG]
-        if long:
+        if max(map(len, own)) > 2 * LONG:
+            long = [t for t in own if len(t) > 2 * LONG]
             own = [t for t in own if len(t) <= 2 * LONG]
             for token in long:
                 windows = units(token)
@@ -208,7 +213,11 @@ class Kernel:
         return out
 
     def image(self, strings: list[str]) -> np.ndarray:
-        return self(strings) ** DEGREE
+        near = self(strings)
+        out = near.copy()
+        for _ in range(DEGREE - 1):  # numpy's power is much slower
+            out *= near
+        return out
 
 
 def evidence(top: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -94,6 +95,26 @@ def test_a_fit_holds_its_rows_once():
     assert ((parts[0] @ w > 0).mean() > 0.9 < (parts[1] @ w < 0).mean()) and np.allclose(machine.beta, root @ w[:-1], atol=1e-6) and machine.bias == w[-1]
 
 
+def test_only_pairs_of_single_characters_are_looked_at_closely(monkeypatch):
+    def plain(text):
+        low = text.lower()
+        for sentence in re.split(r"(?<=[.!?])\s|\n", low):
+            own = sentence.split()
+            if own:
+                own += ["".join(x.split()) for x in toxicity._SINGLES.findall(sentence)]
+                yield from (own[k : k + toxicity.PIECE] for k in range(0, len(own), toxicity.PIECE))
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "B", "é", "7", "word", ".", "! ", "? ", " ", "  ", "\n", "\t", "_", "-"]) for _ in range(rng.randint(0, 30)))
+        assert list(toxicity.pieces(text)) == list(plain(text)), text
+    for token in ("word", "(word).", "_a-b_", "..", "é²", "don't", "中文!", "a_b"):
+        word = re.sub(r"^[\W_]+|[\W_]+$", "", token)
+        assert toxicity.units(token) == list(dict.fromkeys(x for x in (word, re.sub(r"[\W_]+", "", word)) if x))
+    monkeypatch.setattr(toxicity, "_SINGLES", None)
+    assert list(toxicity.pieces("it was a word. and I")) == [["it", "was", "a", "word."], ["and", "i"]]
+
+
 def test_pieces_hold_every_word():
     rng = random.Random(1)
     for _ in range(50):
