@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import hashlib
 import shutil
 import sys
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -271,6 +273,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Seconds between two rounds of given_back that written tables ask for.
+GIVE_BACK_S = 2.0
+_last_given = -GIVE_BACK_S
+
+
+def given_back(spark: SparkSession) -> None:
+    """Return freed memory that the driver's allocators still hold, in Python and in the JVM, to the system; nothing that is in use goes.
+
+    Training's arrays, compilers' scratch and plans' buffers come and go in many sizes and threads, and glibc keeps what was freed, so a driver that runs
+    many queries grows though little is alive. Where libc or the JVM knows no such call nothing happens.
+    """
+    global _last_given
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    context = spark.sparkContext
+    with contextlib.suppress(Exception):
+        jvm = context._jvm
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # the server's own class is not exported, its interface is
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        args = context._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(beans, args)
+    _last_given = time.monotonic()
+
+
 def written(df: DataFrame, narrow: int = 1) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: lineage ends here and a lost executor costs nothing.
 
@@ -281,6 +311,8 @@ def written(df: DataFrame, narrow: int = 1) -> DataFrame:
     if narrow > 1:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // narrow))
     df.write.parquet(path)
+    if time.monotonic() - _last_given >= GIVE_BACK_S:
+        given_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import in_arrow, without_gc, written
+from clickloom.llm.common import given_back, in_arrow, without_gc, written
 
 #: Bounds of the training sample, in documents.
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
@@ -495,6 +495,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Machine | float:
         return *_floats(got["image"], root.shape[1] + 1, toxic), weight[toxic], weight[~toxic]
 
     def documents(machine: Machine, root: np.ndarray):
+        given_back(rows.sparkSession)  # what the fit before has freed
         shared = context.broadcast((machine, root))
 
         def run(batches):
@@ -510,7 +511,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Machine | float:
         sizes = pc.binary_length(got["images"]).to_numpy()[toxic] // (4 * (root.shape[1] + 1))
         return np.array(got["top"].to_pylist()), toxic, *_floats(got["images"], root.shape[1] + 1, toxic), np.repeat(np.arange(len(sizes)), sizes)
 
-    return trained(toxic_words, clean_words, sentences, documents)
+    machine = trained(toxic_words, clean_words, sentences, documents)
+    given_back(rows.sparkSession)
+    return machine
 
 
 def _floats(column: pa.ChunkedArray, width: int, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

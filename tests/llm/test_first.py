@@ -200,3 +200,20 @@ def test_token_shards_round_trip(spark):
     assert token_shards.read_document(path, folder, 1)[0].tolist() == [2]
     folder = shared_dir(spark)
     assert token_shards.read_shards(token_shards.committed(token_shards.write_shards(helpers.frame(spark, []), folder), folder), folder).count() == 0
+
+
+def test_written_gives_freed_memory_back(spark, monkeypatch):
+    from pathlib import Path
+
+    from clickloom.llm import common
+
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 >> 20
+
+    blocks = [b"x" * 60_000 for _ in range(5_000)]
+    pinned = blocks[::500]  # glibc gives back the end of its heap alone by itself
+    full = resident()
+    del blocks
+    monkeypatch.setattr(common, "_last_given", float("-inf"), raising=False)
+    assert written(spark.range(3)).count() == 3
+    assert len(pinned) == 10 and full - resident() > 200
