@@ -227,6 +227,13 @@ def ship(spark: SparkSession) -> None:
     sys.path[:] = [x for x in sys.path if not x.endswith(Path(path).name)]
 
 
+def _trimmed() -> None:
+    """Return this Python process's freed memory to the system, where libc can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _held: dict[tuple[str, str], object] = {}
 
 
@@ -256,7 +263,10 @@ def in_arrow(df: DataFrame, function, schema, holds: str = "") -> DataFrame:
 
     def run(batches):
         _keep_only(holds)
-        yield from function(batches)
+        try:
+            yield from function(batches)
+        finally:
+            _trimmed()  # an idle worker keeps what its task has freed beside the next tasks' memory
 
     return df.mapInArrow(run, schema)
 
@@ -286,9 +296,7 @@ def given_back(spark: SparkSession) -> None:
     """
     global _last_given
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    _trimmed()
     context = spark.sparkContext
     with contextlib.suppress(Exception):
         jvm = context._jvm

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import zlib
 
@@ -217,3 +218,29 @@ def test_written_gives_freed_memory_back(spark, monkeypatch):
     monkeypatch.setattr(common, "_last_given", float("-inf"), raising=False)
     assert written(spark.range(3)).count() == 3
     assert len(pinned) == 10 and full - resident() > 200
+
+
+def test_workers_give_freed_memory_back(spark):
+    import pyarrow as pa
+
+    from clickloom.llm.common import in_arrow
+
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+
+    def fill(batches):
+        import sys
+
+        for _ in batches:
+            blocks = [b"x" * 60_000 for _ in range(5_000)]
+            held = blocks[::500]
+            full = resident()
+            del blocks
+            sys.pinned_blocks = held  # outlives the task
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([full])], names=["pid", "mb"])
+
+    one = spark.range(1).coalesce(1)
+    full = {r.pid: r.mb for r in in_arrow(one, fill, "pid long, mb long").collect()}
+    for pid, mb in full.items():  # the worker sits idle now
+        idle = int(open(f"/proc/{pid}/statm").read().split()[1]) * 4096 >> 20
+        assert mb - idle > 200
